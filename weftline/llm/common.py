@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -66,6 +67,12 @@ def release(df: DataFrame | None) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Between the rounds of an iteration: shuffle files of finished jobs go when the driver's references to them do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of Arrow batches with about `most` bytes of text (a longer text comes alone), and their texts."""
     for batch in batches:

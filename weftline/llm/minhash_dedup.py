@@ -2,16 +2,18 @@
 
 1. A text's set of word shingles is hashed once; texts with equal sets form a class, and only its smallest id goes on.
 2. The k smallest hashes are its sketch. Inverted lists by retained value give overlaps: two sets of similarity
-   0.8 share at least SHARED of their k values (all but about one pair in ten million), so of each sketch only
-   the k - SHARED + 1 values with the shortest lists are needed for any such pair to meet.
+   0.8 share at least 22 of 48 values (all but about one pair in ten million), so of each sketch only
+   the 48 - 22 + 1 values with the shortest lists are needed for any such pair to meet.
 3. In each list members are compared with one pivot; links unite components, and lists that are one component are
    finished. What then still lies in different components of a list is compared pair by pair. A large group of
    near copies so costs a few rows a member, not all its pairs, and no list is capped.
-4. Pairs are filtered by the overlap in the sketch of their union, and those left are verified on full sets.
+4. Pairs are filtered where they arise by the agreement of bin minima, then by the overlap in the sketch of their
+   union, and those left are verified on full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,16 +22,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_slices
+from .common import drop_shuffles, materialize, release, table, text_slices
 from .components import connected_components
 
 SIMILARITY = 80  # per cent
-SKETCH, SHARED = 48, 22
+SKETCH = 48
+#: Bins of the hash; of each the smallest value gives four bits, so that a pair can be judged from 32 bytes a text.
+BINS = 64
+#: Chance that a filter loses a pair of just the asked similarity.
+LOSS = 1e-7
 WORDS = 5
 #: Rounds of pivots at most; after that, pairs of different components are listed however many they are.
 ROUNDS = 8
 #: Pairs for each row of the lists at which no more pivots are needed.
-PAIRS_A_ROW = 2
+PAIRS_A_ROW = 8
 _CACHE = 300_000
 
 
@@ -66,6 +72,25 @@ def shingle_set(text: str | None, words: int, of_word: _WordHash) -> np.ndarray:
     return np.unique((_mix(s) ^ np.uint64(1 << 63)).view(np.int64))
 
 
+def sure_hits(n: int, p: float) -> int:
+    """The most hits that n trials of chance p have, but for a chance of LOSS."""
+    tail = 0.0
+    for k in range(n + 1):
+        tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail > LOSS:
+            return k
+    return n
+
+
+def bin_minima(s: np.ndarray) -> np.ndarray:
+    """Four bits of the smallest hash of each bin (0 for none), 16 bins a number."""
+    x = s.view(np.uint64)
+    which, at = np.unique(x & np.uint64(BINS - 1), return_index=True)
+    bits = np.zeros(BINS, np.uint64)
+    bits[which] = x[at] >> np.uint64(6) & np.uint64(15)
+    return np.bitwise_or.reduce(bits.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+
+
 def _sketches(src: DataFrame, words: int, k: int) -> DataFrame:
     kind = src.schema["id"].dataType.simpleString()
 
@@ -77,9 +102,9 @@ def _sketches(src: DataFrame, words: int, k: int) -> DataFrame:
             low = [s[:k] for s in sets]
             ends = np.cumsum([len(x) for x in low], dtype=np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(np.concatenate(low) if low else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), sketch], ["id", "h", "n", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array([bin_minima(s).tolist() for s in sets], pa.list_(pa.int64())), sketch], ["id", "h", "n", "sig", "m", "sketch"])
 
-    return src.mapInArrow(run, f"id {kind}, h long, n int, sig binary, sketch array<long>")
+    return src.mapInArrow(run, f"id {kind}, h long, n int, sig binary, m array<long>, sketch array<long>")
 
 
 def _sets(src: DataFrame, words: int) -> DataFrame:
@@ -95,8 +120,17 @@ def _sets(src: DataFrame, words: int) -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, set array<long>")
 
 
-def _fits(n1: Column, n2: Column, similarity: int) -> Column:
-    return 100 * F.least(n1, n2) >= similarity * F.greatest(n1, n2)
+def _fits(x: str, y: str, similarity: int) -> Column:
+    """Whether sizes and bin minima of two rows allow the similarity."""
+    n1, n2 = F.col(f"{x}n"), F.col(f"{y}n")
+    same = F.lit(0)
+    for j in range(BINS // 16):
+        z = F.col(f"{x}m{j}").bitwiseXOR(F.col(f"{y}m{j}"))
+        for k in (1, 2):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+        same = same + F.bit_count(F.bitwise_not(z).bitwiseAND(F.lit(0x1111111111111111)))
+    p = similarity / 100
+    return (100 * F.least(n1, n2) >= similarity * F.greatest(n1, n2)) & (same >= sure_hits(BINS, p + (1 - p) / 16))
 
 
 def _needed(n: Column, k: int, shared: int, similarity: int) -> Column:
@@ -111,8 +145,9 @@ def _union_sketch_passes(a: Column, b: Column, k: int, shared: int, similarity:
     return F.when(F.size(low) < k, 100 * both >= similarity * F.size(low)).otherwise(both >= shared)
 
 
-def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int, k: int, shared: int) -> DataFrame:
-    """(node, component) over class representatives (id, n, sketch) that are linked at all; texts: (id, text) of them and others."""
+def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int, k: int) -> DataFrame:
+    """(node, component) over class representatives (id, n, m, sketch) that are linked at all; texts: (id, text) of them and others."""
+    shared = sure_hits(k, similarity / 100)
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
     long = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     met = values.join(long, "v")
@@ -120,6 +155,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     size = F.least(F.col("n"), F.lit(k))
     spare = size - _needed(F.col("n"), k, shared, similarity) + 1 - (size - F.count("*").over(by_id))  # values in no other sketch come first
     lists = met.withColumn("spare", spare).withColumn("nth", F.row_number().over(by_id.orderBy("f", "v"))).where("nth <= spare").select("v", "id", "n")
+    lists = lists.join(reps.select("id", *[F.col("m")[j].alias(f"m{j}") for j in range(BINS // 16)]), "id")
     lists = materialize(lists, "lists")
     wanted = lists.select("id").distinct()
     sets = materialize(_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
@@ -133,6 +169,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
         both = F.size(F.array_intersect("sa", "sb"))
         return x.where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
+    own = [f"m{j}" for j in range(BINS // 16)]
     links = components = None
     open_ = lists.withColumn("c", F.col("id"))
     for turn in range(ROUNDS + 1):
@@ -148,17 +185,18 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
             break
         if last:
             x, y = todo.alias("x"), todo.alias("y")
-            pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
-            pivot = todo.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "n", "c")).alias("p"))
-            pairs = todo.join(pivot, "v").where((F.col("c") != F.col("p.c")) & _fits(F.col("n"), F.col("p.n"), similarity)).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+            pivot = todo.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "n", "c", *own)).alias("p"))
+            pairs = todo.join(pivot, "v").where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity)).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         new = materialize(verified(pairs.distinct()), "links")
         links = new if links is None else links.unionByName(new)
         components = materialize(connected_components(links), "components")
         release(todo)
         if last:
             break
-        open_ = lists.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+        drop_shuffles(lists.sparkSession)
+        open_ = lists.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", *own, F.coalesce("component", "id").alias("c"))
     if components is None:
         components = lists.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     release(sets)
@@ -166,7 +204,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     return components
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH, shared: int = SHARED) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH) -> DataFrame:
     """(id, h, n_shingles, component_id, kept) of every row; h is xxhash64 of its text.
 
     Rows are linked if 100 * intersection >= similarity * union of their shingle sets; component_id is the smallest id
@@ -177,10 +215,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(_sketches(src, words, k), "sketches")
     live = rows.where("n > 0 and id is not null")
-    reps = materialize(live.groupBy("sig").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("sig", "r.*"), "classes")
+    reps = materialize(live.groupBy("sig").agg(F.min(F.struct("id", "n", "m", "sketch")).alias("r")).select("sig", "r.*"), "classes")
     # versions of one id lie in different classes; each class then goes by its own node, the versions are linked below
     classes = reps.dropDuplicates(["id"])
-    components = link_classes(classes, src.select("id", "text"), words, similarity, k, shared)
+    components = link_classes(classes, src.select("id", "text"), words, similarity, k)
     of_class = reps.join(components.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     out = rows.join(of_class, "sig", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
