@@ -5,12 +5,28 @@ from __future__ import annotations
 from .bpe_codec import op9_bpe_codec
 from .chat_format import OP7_SQL, op7_chat_format
 from .embedding_dedup import op4_embedding_dedup
+from .language_id import op6_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import op2_mixing
 from .quality_rules import op3_quality_rules
 from .token_counts import op1_token_counts
+from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_quality_rules, op4_embedding_dedup, op5_line_dedup, op7_chat_format, op8_minhash_dedup, op9_bpe_codec)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_mixing,
+        op3_quality_rules,
+        op4_embedding_dedup,
+        op5_line_dedup,
+        op6_language_id,
+        op7_chat_format,
+        op8_minhash_dedup,
+        op9_bpe_codec,
+        op10_toxicity,
+    )
+}
 
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
