@@ -14,33 +14,29 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WINDOW = 3
-_BLANK = r"^[\x20\x09-\x0D]*$"
-
-
-def _windows(lines: Column, size: int) -> Column:
-    """Structs of two hashes and the first and last line of each window of a text's lines that have a word."""
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~s["x"].rlike(_BLANK))
-    spans = F.when(F.size(full) >= size, F.sequence(F.lit(1), F.size(full) - size + 1)).otherwise(F.array().cast("array<int>"))
-
-    def window(full: Column) -> Column:
-        at = lambda k, j: F.element_at(full, k + j)
-        return F.transform(
-            spans,
-            lambda k: F.struct(
-                F.xxhash64(*[at(k, j)["x"] for j in range(size)]).alias("h1"),
-                F.xxhash64(F.lit(7), *[at(k, j)["x"] for j in range(size)]).alias("h2"),
-                at(k, 0)["i"].alias("lo"),
-                at(k, size - 1)["i"].alias("hi"),
-            ),
-        )
-
-    return window(full)
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _windows(full: Column, size: int) -> Column:
+    """Structs of two hashes and the first and last line of each window; full: structs (i, x) of the lines with a word."""
+    n = F.greatest(F.size(full) - size + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(full, j + 1, n).alias(f"l{j}") for j in range(size)])
+    return F.transform(
+        shifted,
+        lambda w: F.struct(
+            F.xxhash64(*[w[f"l{j}"]["x"] for j in range(size)]).alias("h1"),
+            F.xxhash64(F.lit(7), *[w[f"l{j}"]["x"] for j in range(size)]).alias("h2"),
+            w["l0"]["i"].alias("lo"),
+            w[f"l{size - 1}"]["i"].alias("hi"),
+        ),
+    )
 
 
 def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(id, h, islands): the merged line ranges that go, for each text (by id and hash) that loses lines; from columns id, h, lines."""
-    w = docs.select("id", "h", F.inline(_windows(F.col("lines"), size)))
-    w = materialize(w, "windows")
+    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(_WORD))
+    w = docs.select("id", "h", full.alias("full"))  # its own step: used inside functions, it would be made anew for each element
+    w = materialize(w.select("id", "h", F.inline(_windows(F.col("full"), size))), "windows")
     first = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "h", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # one row a window on the right: where a window is very common, the left side's partition can be split
     later = w.join(first.hint("merge"), ["h1", "h2"]).where(~F.struct("id", "h", "lo").eqNullSafe(F.col("first"))).select("id", "h", "lo", "hi")
@@ -78,11 +74,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     lines = F.split(text, "\n")
     islands = covered(keyed.where(text.isNotNull()).select(F.struct(F.col("order_id"), F.col("id")).alias("id"), "h", lines.alias("lines")), size)
     islands = islands.select(F.col("id.id").alias("id"), "h", "islands")
-    out = keyed.join(islands, ["id", "h"], "left")
+    out = keyed.join(islands, ["id", "h"], "left").withColumn("lines", lines)
     gone = F.aggregate("islands", F.lit(0), lambda n, r: n + r["hi"] - r["lo"] + 1)
-    new = F.when(F.col("islands").isNull(), text).otherwise(F.array_join(_rest(lines, F.col("islands")), "\n"))
+    new = F.when(F.col("islands").isNull(), text).otherwise(F.array_join(_rest(F.col("lines"), F.col("islands")), "\n"))
     cols = [(new if c == text_col else F.col(at[c])).alias(c) for c in df.columns]
-    return out.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("__removed"))
+    return out.select(*cols, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("__lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("__removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
