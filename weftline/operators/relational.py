@@ -40,7 +40,8 @@ def full_text_search(df: DataFrame, id_col: str, text_col: str, query: str, limi
     words = [w for w in dict.fromkeys(query.lower().split()) if w]
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     src = df.select(F.col(id_col), tokens.alias("t"))
-    counts = src.select(id_col, F.size("t").alias("len"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"f{i}") for i, w in enumerate(words)])
+    times = lambda w: F.size(F.filter("t", lambda x: x == F.lit(w)))
+    counts = src.select(id_col, F.size("t").alias("len"), *[times(w).alias(f"f{i}") for i, w in enumerate(words)])
     figures = counts.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     hits = counts.where(" AND ".join(f"f{i} > 0" for i in range(len(words))) or "false").crossJoin(F.broadcast(figures))  # figures is one row
     score = F.lit(0.0)

@@ -165,7 +165,7 @@ class Lowering:
         def test(p: ast.pattern) -> Column | None:
             if isinstance(p, ast.MatchOr):
                 tests = [test(x) for x in p.patterns]
-                return None if None in tests else [t for t in tests][0] if len(tests) == 1 else self._any(tests)
+                return None if any(t is None for t in tests) else self._any(tests)
             if isinstance(p, ast.MatchAs):
                 return None
             value = p.value if isinstance(p, ast.MatchSingleton) else ast.literal_eval(p.value)

@@ -50,7 +50,7 @@ def graph_stats(executions: DataFrame, latest: int | None = LATEST) -> DataFrame
         failed.alias("failed"),
         rate(failed, n).alias("failure_rate"),
         F.expr("sum(duration_us) div count(duration_us)").alias("avg_duration_us"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_us)").alias("p95_duration_us"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_us)").cast("long").alias("p95_duration_us"),
     )
 
 

@@ -15,10 +15,14 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Value:
-    col: Column
+    raw: Column | None  # None is null, so that null needs no session
     type: T.DataType
     const: object = None  # of a literal
 
+    @property
+    def col(self) -> Column:
+        return F.lit(None) if self.raw is None else self.raw
+
     @property
     def kind(self) -> str:
         t = self.type
@@ -40,7 +44,7 @@ class Value:
 
 
 LONG, DOUBLE, STRING, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
-NULL = Value(F.lit(None), T.NullType())
+NULL = Value(None, T.NullType())
 
 
 def literal(x: object) -> Value:
@@ -65,7 +69,7 @@ def common(a: T.DataType, b: T.DataType) -> T.DataType:
     """The type that holds values of both: the wider number, else text."""
     if a == b:
         return a
-    ka, kb = Value(F.lit(None), a).kind, Value(F.lit(None), b).kind
+    ka, kb = Value(None, a).kind, Value(None, b).kind
     if ka == "N":
         return b
     if kb == "N":
