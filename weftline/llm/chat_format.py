@@ -23,7 +23,7 @@ LEARNED = "assistant"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
@@ -45,8 +45,8 @@ def render(turn: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """The turns (role, text, learn) of a rendered conversation, by the grammar alone."""
-    pieces = F.filter(F.split(rendered, _END_PATTERN), lambda p: p.startswith(START))
+    """The turns (role, text) of a rendered conversation, by the grammar alone; a piece with `<|` inside is no turn."""
+    pieces = F.filter(F.split(rendered, _END_PATTERN), lambda p: p.startswith(START) & (F.instr(F.substring(p, F.lit(2), F.char_length(p)), "<|") == 0))
     head = lambda p: F.substring_index(p, "\n", 1)
     return F.transform(
         pieces,
@@ -103,8 +103,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS escaped,
-             text = regexp_replace(text, '<(\\\\*)\\\\\\|', '<\\1|', 'g') AND NOT contains(text || '<|im_end|>', '<|im_end|>' || chr(10))
-             AND NOT contains(text, '<|im_end|>' || chr(10)) AS plain FROM c)
+             text = regexp_replace(text, '<(\\\\*)\\\\\\|', '<\\1|', 'g') AND NOT contains(text, '<|') AS plain FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
