@@ -142,7 +142,7 @@ class Tagger:
     def __init__(self, model: dict):
         self.m = model
         self.n = len(model["langs"])
-        self.a = np.exp(model["trans"] - model["trans"].max())
+        self.a = np.exp(model["trans"] - model["trans"].max(initial=0))
         self.cache: dict[str, int] = {}
         self.emit = np.ones((0, self.n), np.float32)
         self.real = np.zeros(0, bool)
@@ -163,11 +163,13 @@ class Tagger:
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Mean marginals of each text's words with letters; zeros where there are none."""
         out = np.zeros((len(texts), self.n))
+        if not self.n:
+            return out
         split = [t.lower().split() if t else [] for t in texts]
         self._learn(split)
         size = np.array([len(x) for x in split])
         who = np.flatnonzero(size)
-        if not len(who) or not self.n:
+        if not len(who):
             return out
         ids = np.fromiter((self.cache[w] for x in split for w in x), np.int64, int(size.sum()))
         blocks = -(-size[who] // BLOCK)
