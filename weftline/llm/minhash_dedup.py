@@ -4,9 +4,9 @@
 2. The k smallest hashes are its sketch. Inverted lists by retained value give overlaps: two sets of similarity
    0.8 share at least 22 of 48 values (all but about one pair in ten million), so of each sketch only
    the 48 - 22 + 1 values with the shortest lists are needed for any such pair to meet.
-3. In each list members are compared with one pivot; links unite components, and lists that are one component are
-   finished. What then still lies in different components of a list is compared pair by pair. A large group of
-   near copies so costs a few rows a member, not all its pairs, and no list is capped.
+3. In rounds, each text meets a few pivots of one of its long lists, and links unite components. What then still
+   lies in different components of any list is compared pair by pair, in the first list that both are in. A large
+   group of near copies so costs a few rows a member, not all its pairs, and no list is capped.
 4. Pairs are filtered where they arise by the agreement of bin minima, then by the overlap in the sketch of their
    union, and those left are verified on full sets.
 """
@@ -32,10 +32,9 @@ BINS = 64
 #: Chance that a filter loses a pair of just the asked similarity.
 LOSS = 1e-7
 WORDS = 5
-#: Rounds of pivots at most; after that, pairs of different components are listed however many they are.
-ROUNDS = 8
-#: Pairs for each row of the lists at which no more pivots are needed.
-PAIRS_A_ROW = 8
+#: Pivots of a list in each round, fewer texts being left that they don't reach; texts that make a list worth them. Rounds
+#: end where they link less than a share of the texts that they look at.
+PIVOTS, LONG, GAIN = (4, 16, 32, 64, 128), 8, 0.002
 _CACHE = 300_000
 
 
@@ -154,8 +153,9 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     by_id = Window.partitionBy("id")
     size = F.least(F.col("n"), F.lit(k))
     spare = size - _needed(F.col("n"), k, shared, similarity) + 1 - (size - F.count("*").over(by_id))  # values in no other sketch come first
-    lists = met.withColumn("spare", spare).withColumn("nth", F.row_number().over(by_id.orderBy("f", "v"))).where("nth <= spare").select("v", "id", "n")
-    lists = lists.join(reps.select("id", *[F.col("m")[j].alias(f"m{j}") for j in range(BINS // 16)]), "id")
+    lists = met.withColumn("spare", spare).withColumn("nth", F.row_number().over(by_id.orderBy("f", "v"))).where("nth <= spare").select("v", "id", "n", "f")
+    minima = reps.select("id", "n", *[F.col("m")[j].alias(f"m{j}") for j in range(BINS // 16)])
+    lists = lists.join(minima.drop("n"), "id")
     lists = materialize(lists, "lists")
     wanted = lists.select("id").distinct()
     sets = materialize(_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
@@ -169,38 +169,48 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
         both = F.size(F.array_intersect("sa", "sb"))
         return x.where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
+    # for each round, each id in one of its long lists: the same for near copies as a rule, and another one each round
+    least = [F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), "v"))["v"].alias(f"v{turn}") for turn in range(len(PIVOTS))]
+    homes = materialize(met.where(F.col("f") >= LONG).groupBy("id").agg(*least).join(minima, "id"), "homes")
     own = [f"m{j}" for j in range(BINS // 16)]
     links = components = None
-    open_ = lists.withColumn("c", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        # lists of more than one component, and the pairs that listing them all would make
-        per = open_.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.sum("m").alias("g"), F.sum(F.col("m").cast("double") * F.col("m")).alias("gg"), F.count("*").alias("parts"))
-        per = per.where("parts > 1")
-        todo = materialize(open_.join(per.select("v"), "v"), "open")
-        r = per.agg(F.sum("g"), F.sum((F.col("g").cast("double") * F.col("g") - F.col("gg")) / 2)).first()
-        rows, cross = r[0] or 0, r[1] or 0.0
-        last = turn == ROUNDS or cross <= PAIRS_A_ROW * rows
-        if not rows:
-            release(todo)
-            break
-        if last:
-            x, y = todo.alias("x"), todo.alias("y")
-            pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            pivot = todo.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "n", "c", *own)).alias("p"))
-            pairs = todo.join(pivot, "v").where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity)).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
+    def united(rows: DataFrame) -> DataFrame:
+        if components is None:
+            return rows.withColumn("c", F.col("id"))
+        own_part = components.select(F.col("node").alias("id"), "component")
+        return rows.join(own_part, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def link(pairs: DataFrame) -> int:
+        nonlocal links, components
         new = materialize(verified(pairs.distinct()), "links")
         links = new if links is None else links.unionByName(new)
+        release(components)
         components = materialize(connected_components(links), "components")
-        release(todo)
-        if last:
-            break
         drop_shuffles(lists.sparkSession)
-        open_ = lists.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", *own, F.coalesce("component", "id").alias("c"))
-    if components is None:
-        components = lists.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    release(sets)
-    release(lists)
+        return new.count()
+
+    for turn in range(len(PIVOTS)):
+        star = materialize(united(homes.select("id", F.col(f"v{turn}").alias("v"), "n", *own)), "star")
+        nth = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "id")))  # Spark keeps the first few of each partition before it shuffles
+        pivots = star.withColumn("nth", nth).where(F.col("nth") <= PIVOTS[turn]).select("v", F.struct("id", "n", "c", *own).alias("p"))
+        pairs = star.join(pivots, "v").where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity))
+        gain = link(pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+        rows = star.count()
+        release(star)
+        if gain <= GAIN * rows:
+            break
+    # all pairs of a list that lie in different components yet; each in the first list that both are in
+    rows = united(lists)
+    split = rows.groupBy("v").agg((F.min("c") != F.max("c")).alias("split")).where("split").select("v")
+    todo = rows.join(split, "v", "left_semi").join(lists.groupBy("id").agg(F.collect_list("v").alias("vs")), "id")
+    todo = materialize(todo.drop("f"), "open")
+    x, y = todo.alias("x"), todo.alias("y")
+    cross = (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)
+    cross = cross & (F.col("x.v") == F.array_min(F.array_intersect("x.vs", "y.vs")))
+    link(x.join(y, cross).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    for used in (todo, sets, lists, homes):
+        release(used)
     return components
 
 
