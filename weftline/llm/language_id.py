@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ FEATURES = 1 << 15
 LEXICON_MIN, LEXICON_SHARE = 3, 0.9
 EPOCHS, BATCH, RATE = 5, 64, 0.2
 BLOCK = 128
-_CACHE = 250_000
+_CACHE = 500_000
 _PER_WORD = 48
 
 
@@ -42,13 +43,26 @@ def bare(word: str) -> str:
     return word[a:b]
 
 
+class _FeatureIds(dict):
+    """Hashed numbers of feature strings; the commonest few hundred thousand are remembered."""
+
+    def __missing__(self, f: str) -> int:
+        if len(self) > _CACHE:
+            self.clear()
+        i = self[f] = xxhash.xxh32_intdigest(f) % (FEATURES - LANGS)
+        return i
+
+
+_IDS = _FeatureIds()
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed features of a bare word; none for the empty word."""
     if not word:
         return []
     w = f"<{word[:LONGEST]}>"
-    own = {f"p{w[:k]}" for k in (2, 3, 4)} | {f"s{w[-k:]}" for k in (2, 3, 4)} | {w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)}
-    ids = [xxhash.xxh32_intdigest(f) % (FEATURES - LANGS) for f in sorted(own)][: _PER_WORD - 1]
+    own = ["p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:], *map("".join, zip(w, w[1:], w[2:], strict=False)), *map("".join, zip(w, w[1:], strict=False)), *w]
+    ids = list(map(_IDS.__getitem__, dict.fromkeys(own)))[: _PER_WORD - 1]
     if word in lexicon:
         ids.append(FEATURES - LANGS + lexicon[word])
     return ids
@@ -57,9 +71,9 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
 def _padded(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Feature ids of words, one row each, filled up with FEATURES."""
     rows = [features(w, lexicon) for w in words]
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
     out = np.full((len(rows), _PER_WORD), FEATURES, np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    out[np.arange(_PER_WORD) < size[:, None]] = np.fromiter(chain.from_iterable(rows), np.int64, int(size.sum()))
     return out
 
 
@@ -171,7 +185,7 @@ class Tagger:
         who = np.flatnonzero(size)
         if not len(who):
             return out
-        ids = np.fromiter((self.cache[w] for x in split for w in x), np.int64, int(size.sum()))
+        ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
         blocks = -(-size[who] // BLOCK)
         first = np.cumsum(blocks) - blocks
         owner = np.repeat(np.arange(len(who)), blocks)
