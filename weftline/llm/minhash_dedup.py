@@ -7,8 +7,8 @@
 3. In rounds, each text meets a few pivots of one of its long lists, and links unite components. What then still
    lies in different components of any list is compared pair by pair, in the first list that both are in. A large
    group of near copies so costs a few rows a member, not all its pairs, and no list is capped.
-4. Pairs are filtered where they arise by the agreement of bin minima, then by the overlap in the sketch of their
-   union, and those left are verified on full sets.
+4. Pairs are filtered where they arise by the parities and minima of the bins of their full sets, then by the overlap
+   in the sketch of their union, and those left are verified on full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ SIMILARITY = 80  # per cent
 SKETCH = 48
 #: Bins of the hash; of each the smallest value gives four bits, so that a pair can be judged from 32 bytes a text.
 BINS = 64
+#: Bins of which the parity of a set's count is kept: the bits that differ are at most the hashes that are in one of two sets.
+PARITIES = 512
+MINIMA = BINS // 16  # numbers
 #: Chance that a filter loses a pair of just the asked similarity.
 LOSS = 1e-7
 WORDS = 5
@@ -90,6 +93,12 @@ def bin_minima(s: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
 
 
+def bin_parities(s: np.ndarray) -> np.ndarray:
+    """For each bin whether an odd number of hashes lies in it, 64 bins a number."""
+    n = np.bincount((s.view(np.uint64) & np.uint64(PARITIES - 1)).view(np.int64), minlength=PARITIES)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketches(src: DataFrame, words: int, k: int) -> DataFrame:
     kind = src.schema["id"].dataType.simpleString()
 
@@ -101,7 +110,7 @@ def _sketches(src: DataFrame, words: int, k: int) -> DataFrame:
             low = [s[:k] for s in sets]
             ends = np.cumsum([len(x) for x in low], dtype=np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(np.concatenate(low) if low else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array([bin_minima(s).tolist() for s in sets], pa.list_(pa.int64())), sketch], ["id", "h", "n", "sig", "m", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array([[*bin_minima(s).tolist(), *bin_parities(s).tolist()] for s in sets], pa.list_(pa.int64())), sketch], ["id", "h", "n", "sig", "m", "sketch"])
 
     return src.mapInArrow(run, f"id {kind}, h long, n int, sig binary, m array<long>, sketch array<long>")
 
@@ -120,16 +129,20 @@ def _sets(src: DataFrame, words: int) -> DataFrame:
 
 
 def _fits(x: str, y: str, similarity: int) -> Column:
-    """Whether sizes and bin minima of two rows allow the similarity."""
+    """Whether sizes, bin parities and bin minima of two rows allow the similarity; only the minima may err, and that by LOSS."""
     n1, n2 = F.col(f"{x}n"), F.col(f"{y}n")
+    odd = F.lit(0)
+    for j in range(MINIMA, MINIMA + PARITIES // 64):
+        odd = odd + F.bit_count(F.col(f"{x}m{j}").bitwiseXOR(F.col(f"{y}m{j}")))
     same = F.lit(0)
-    for j in range(BINS // 16):
+    for j in range(MINIMA):
         z = F.col(f"{x}m{j}").bitwiseXOR(F.col(f"{y}m{j}"))
         for k in (1, 2):
             z = z.bitwiseOR(F.shiftrightunsigned(z, k))
         same = same + F.bit_count(F.bitwise_not(z).bitwiseAND(F.lit(0x1111111111111111)))
     p = similarity / 100
-    return (100 * F.least(n1, n2) >= similarity * F.greatest(n1, n2)) & (same >= sure_hits(BINS, p + (1 - p) / 16))
+    near = (100 + similarity) * odd <= (100 - similarity) * (n1 + n2)
+    return (100 * F.least(n1, n2) >= similarity * F.greatest(n1, n2)) & near & (same >= sure_hits(BINS, p + (1 - p) / 16))
 
 
 def _needed(n: Column, k: int, shared: int, similarity: int) -> Column:
@@ -154,8 +167,8 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     size = F.least(F.col("n"), F.lit(k))
     spare = size - _needed(F.col("n"), k, shared, similarity) + 1 - (size - F.count("*").over(by_id))  # values in no other sketch come first
     lists = met.withColumn("spare", spare).withColumn("nth", F.row_number().over(by_id.orderBy("f", "v"))).where("nth <= spare").select("v", "id", "n", "f")
-    minima = reps.select("id", "n", *[F.col("m")[j].alias(f"m{j}") for j in range(BINS // 16)])
-    lists = lists.join(minima.drop("n"), "id")
+    own = [f"m{j}" for j in range(MINIMA + PARITIES // 64)]
+    bins = reps.select("id", "n", *[F.col("m")[j].alias(c) for j, c in enumerate(own)])
     lists = materialize(lists, "lists")
     wanted = lists.select("id").distinct()
     sets = materialize(_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
@@ -171,8 +184,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
 
     # for each round, each id in one of its long lists: the same for near copies as a rule, and another one each round
     least = [F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), "v"))["v"].alias(f"v{turn}") for turn in range(len(PIVOTS))]
-    homes = materialize(met.where(F.col("f") >= LONG).groupBy("id").agg(*least).join(minima, "id"), "homes")
-    own = [f"m{j}" for j in range(BINS // 16)]
+    homes = materialize(met.where(F.col("f") >= LONG).groupBy("id").agg(*least).join(bins, "id"), "homes")
     links = components = None
 
     def united(rows: DataFrame) -> DataFrame:
@@ -203,8 +215,8 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     # all pairs of a list that lie in different components yet; each in the first list that both are in
     rows = united(lists)
     split = rows.groupBy("v").agg((F.min("c") != F.max("c")).alias("split")).where("split").select("v")
-    todo = rows.join(split, "v", "left_semi").join(lists.groupBy("id").agg(F.collect_list("v").alias("vs")), "id")
-    todo = materialize(todo.drop("f"), "open")
+    todo = rows.drop("f", "n").join(split, "v", "left_semi").join(lists.groupBy("id").agg(F.collect_list("v").alias("vs")), "id").join(bins, "id")
+    todo = materialize(todo, "open")
     x, y = todo.alias("x"), todo.alias("y")
     cross = (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)
     cross = cross & (F.col("x.v") == F.array_min(F.array_intersect("x.vs", "y.vs")))
