@@ -38,6 +38,8 @@ WORDS = 5
 #: Pivots of a list in each round, fewer texts being left that they don't reach; texts that make a list worth them. Rounds
 #: end where they link less than a share of the texts that they look at.
 PIVOTS, LONG, GAIN = (4, 16, 32, 64, 128), 8, 0.002
+#: Texts of a list that meet its pivots in one task, about; a longer list is dealt over more.
+SHARE = 1000
 _CACHE = 300_000
 
 
@@ -183,7 +185,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
         return x.where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
     # for each round, each id in one of its long lists: the same for near copies as a rule, and another one each round
-    least = [F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), "v"))["v"].alias(f"v{turn}") for turn in range(len(PIVOTS))]
+    least = [F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), "v", "f")).alias(f"h{turn}") for turn in range(len(PIVOTS))]
     homes = materialize(met.where(F.col("f") >= LONG).groupBy("id").agg(*least).join(bins, "id"), "homes")
     links = components = None
 
@@ -203,10 +205,10 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
         return new.count()
 
     for turn in range(len(PIVOTS)):
-        star = materialize(united(homes.select("id", F.col(f"v{turn}").alias("v"), "n", *own)), "star")
+        star = materialize(united(homes.select("id", f"h{turn}.v", F.ceil(F.col(f"h{turn}.f") / SHARE).cast("int").alias("shares"), "n", *own)), "star")
         nth = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "id")))  # Spark keeps the first few of each partition before it shuffles
-        pivots = star.withColumn("nth", nth).where(F.col("nth") <= PIVOTS[turn]).select("v", F.struct("id", "n", "c", *own).alias("p"))
-        pairs = star.join(pivots, "v").where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity))
+        pivots = star.withColumn("nth", nth).where(F.col("nth") <= PIVOTS[turn]).select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.struct("id", "n", "c", *own).alias("p"))
+        pairs = star.withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).join(pivots, ["v", "share"]).where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity))
         gain = link(pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
         rows = star.count()
         release(star)
