@@ -206,6 +206,20 @@ def test_minhash(spark, docs, texts):
     assert 0 in ids and 1 not in ids and 2 not in ids and len(ids) == len(set(ids))
 
 
+def test_bin_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 150, 700, 5000):
+        for kept in (1.0, 0.95, 0.9, 0.8, 0.6):
+            x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            y = np.unique(np.append(x[: max(1, int(n * kept))], rng.integers(-(2**63), 2**63 - 1, n - int(n * kept))))
+            a, b = (np.array(minhash_dedup.bin_parities(v)).view(np.uint64) for v in (x, y))
+            odd = sum(int(v).bit_count() for v in a ^ b)
+            both = len(np.intersect1d(x, y))
+            assert odd <= len(x) + len(y) - 2 * both
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert 180 * odd <= 20 * (len(x) + len(y))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(None, 3), (5, 5)]
