@@ -177,17 +177,17 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     sketches = reps.select("id", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose full sets are similar."""
+        """Of pairs (a, b, and their components ca, cb), those whose full sets are similar."""
         x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb")), "b")
-        x = x.where(_union_sketch_passes(F.col("ka"), F.col("kb"), k, shared, similarity)).select("a", "b")
+        x = x.where(_union_sketch_passes(F.col("ka"), F.col("kb"), k, shared, similarity)).drop("ka", "kb")
         x = x.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return x.where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+        return x.where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("ca", "cb")
 
     # for each round, each id in one of its long lists: the same for near copies as a rule, and another one each round
     least = [F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), "v", "f")).alias(f"h{turn}") for turn in range(len(PIVOTS))]
     homes = materialize(met.where(F.col("f") >= LONG).groupBy("id").agg(*least).join(bins, "id"), "homes")
-    links = components = None
+    components = None
 
     def united(rows: DataFrame) -> DataFrame:
         if components is None:
@@ -196,20 +196,33 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
         return rows.join(own_part, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     def link(pairs: DataFrame) -> int:
-        nonlocal links, components
+        """Unite the components of pairs that are similar: only those that a new link touches are gone through again."""
+        nonlocal components
         new = materialize(verified(pairs.distinct()), "links")
-        links = new if links is None else links.unionByName(new)
-        release(components)
-        components = materialize(connected_components(links), "components")
+        gain, old = new.count(), components
+        if gain or old is None:
+            merged = connected_components(new, "ca", "cb")
+            if old is None:
+                components = materialize(merged, "components")
+            else:
+                merged = materialize(merged, "merged")
+                moved = old.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+                both = moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(merged.join(old.select("node"), "node", "left_anti"))
+                components = materialize(both, "components")
+                release(merged)
+                release(old)
+        release(new)
         drop_shuffles(lists.sparkSession)
-        return new.count()
+        return gain
 
     for turn in range(len(PIVOTS)):
         star = materialize(united(homes.select("id", f"h{turn}.v", F.ceil(F.col(f"h{turn}.f") / SHARE).cast("int").alias("shares"), "n", *own)), "star")
         nth = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "id")))  # Spark keeps the first few of each partition before it shuffles
         pivots = star.withColumn("nth", nth).where(F.col("nth") <= PIVOTS[turn]).select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.struct("id", "n", "c", *own).alias("p"))
         pairs = star.withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).join(pivots, ["v", "share"]).where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity))
-        gain = link(pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+        me, pivot = F.struct("id", "c"), F.struct("p.id", "p.c")
+        ends = pairs.select(F.least(me, pivot).alias("x"), F.greatest(me, pivot).alias("y"))
+        gain = link(ends.select(F.col("x.id").alias("a"), F.col("x.c").alias("ca"), F.col("y.id").alias("b"), F.col("y.c").alias("cb")))
         rows = star.count()
         release(star)
         if gain <= GAIN * rows:
@@ -222,7 +235,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     x, y = todo.alias("x"), todo.alias("y")
     cross = (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)
     cross = cross & (F.col("x.v") == F.array_min(F.array_intersect("x.vs", "y.vs")))
-    link(x.join(y, cross).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    link(x.join(y, cross).select(F.col("x.id").alias("a"), F.col("x.c").alias("ca"), F.col("y.id").alias("b"), F.col("y.c").alias("cb")))
     for used in (todo, sets, lists, homes):
         release(used)
     return components
