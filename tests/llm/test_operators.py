@@ -206,6 +206,21 @@ def test_minhash(spark, docs, texts):
     assert 0 in ids and 1 not in ids and 2 not in ids and len(ids) == len(set(ids))
 
 
+def test_minhash_links_versions_of_an_id(spark):
+    rng = random.Random(12)
+    t = [words(rng, 60) for _ in range(9)]
+    near = [x + " tail" for x in t]
+    rows = [(1, t[0]), (1, t[1]), (2, near[0]), (3, near[1]), (4, t[2]), (5, near[2]), (5, t[3]), (6, near[3])]
+    rows += [(7, t[4]), (7, t[5]), (8, t[5]), (9, t[6]), (10, t[6]), (10, t[7]), (11, near[7]), (12, t[8]), (12, t[8]), (12, None)]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 9, 10: 9, 11: 9, 12: 12}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        out = minhash_dedup.near_duplicates(df, words=4).collect()
+        assert len(out) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in out)
+    only = minhash_dedup.near_duplicates(df.where("doc_id in (1, 7)"), words=4).collect()
+    assert {(r.doc_id, r.component_id) for r in only} == {(1, 1), (7, 7)}
+
+
 def test_bin_parities_lose_no_similar_pair():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 150, 700, 5000):

@@ -1,6 +1,7 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
-1. A text's set of word shingles is hashed once; texts with equal sets form a class, and only its smallest id goes on.
+1. A text's set of word shingles is hashed once; texts with equal sets form a class, and only the row of its smallest id
+   goes on. Classes that share an id are linked.
 2. The k smallest hashes are its sketch. Inverted lists by retained value give overlaps: two sets of similarity
    0.8 share at least 22 of 48 values (all but about one pair in ten million), so of each sketch only
    the 48 - 22 + 1 values with the shortest lists are needed for any such pair to meet.
@@ -159,8 +160,11 @@ def _union_sketch_passes(a: Column, b: Column, k: int, shared: int, similarity:
     return F.when(F.size(low) < k, 100 * both >= similarity * F.size(low)).otherwise(both >= shared)
 
 
-def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int, k: int) -> DataFrame:
-    """(node, component) over class representatives (id, n, m, sketch) that are linked at all; texts: (id, text) of them and others."""
+def link_classes(reps: DataFrame, texts: DataFrame, versions: DataFrame, words: int, similarity: int, k: int) -> DataFrame:
+    """(node, component) over classes (id, n, m, sketch, and doc and h of a row of theirs) that are linked at all.
+
+    texts: (doc, h, text) of these rows and others; versions: (a, b), classes that are linked whatever their sets.
+    """
     shared = sure_hits(k, similarity / 100)
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
     long = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
@@ -172,8 +176,9 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     own = [f"m{j}" for j in range(MINIMA + PARITIES // 64)]
     bins = reps.select("id", "n", *[F.col("m")[j].alias(c) for j, c in enumerate(own)])
     lists = materialize(lists, "lists")
-    wanted = lists.select("id").distinct()
-    sets = materialize(_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
+    wanted = reps.select("id", "doc", "h").join(lists.select("id").distinct(), "id", "left_semi")
+    # rows equal in id and text are the same set
+    sets = materialize(_sets(texts.join(wanted, ["doc", "h"]).select("id", "text"), words).dropDuplicates(["id"]), "sets")
     sketches = reps.select("id", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -187,7 +192,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, words: int, similarity: int,
     # for each round, each id in one of its long lists: the same for near copies as a rule, and another one each round
     least = [F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), "v", "f")).alias(f"h{turn}") for turn in range(len(PIVOTS))]
     homes = materialize(met.where(F.col("f") >= LONG).groupBy("id").agg(*least).join(bins, "id"), "homes")
-    components = None
+    components = None if versions.isEmpty() else materialize(connected_components(versions), "components")
 
     def united(rows: DataFrame) -> DataFrame:
         if components is None:
@@ -252,11 +257,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(_sketches(src, words, k), "sketches")
     live = rows.where("n > 0 and id is not null")
-    reps = materialize(live.groupBy("sig").agg(F.min(F.struct("id", "n", "m", "sketch")).alias("r")).select("sig", "r.*"), "classes")
-    # versions of one id lie in different classes; each class then goes by its own node, the versions are linked below
-    classes = reps.dropDuplicates(["id"])
-    components = link_classes(classes, src.select("id", "text"), words, similarity, k)
-    of_class = reps.join(components.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
+    reps = live.groupBy("sig").agg(F.min(F.struct("id", "h", "n", "m", "sketch")).alias("r"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "sig", "r.*"), "classes")
+    # a class goes by its own node, as versions of one id can lie in different classes; these are linked
+    several = live.groupBy("id").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).where("first < last").select("id", "first")
+    versions = live.select("id", "sig").join(several, "id").where("sig > first").select("sig", "first").distinct()
+    of_sig = reps.select("sig", "node")
+    versions = versions.join(of_sig.withColumnRenamed("node", "a"), "sig").join(of_sig.select(F.col("sig").alias("first"), F.col("node").alias("b")), "first").select("a", "b")
+    versions = materialize(versions, "versions")
+    classes = reps.select(F.col("node").alias("id"), F.col("id").alias("doc"), "h", "n", "m", "sketch")
+    components = link_classes(classes, src.withColumnRenamed("id", "doc"), versions, words, similarity, k)
+    release(versions)
+    least = components.join(reps.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    named = components.join(least, "component").select("node", "least")
+    of_class = reps.join(named, "node", "left").select("sig", F.coalesce("least", "id").alias("component"))
     out = rows.join(of_class, "sig", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "h", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
