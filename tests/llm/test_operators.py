@@ -263,6 +263,23 @@ def test_embeddings(spark):
     assert all(out[i].n_links == 0 and out[i].kept for i in (900, 901, 902, 903, 904, None))
 
 
+def test_embedding_links_are_found_where_they_are_rare(monkeypatch):
+    # 2,000 nodes, half of them cut off from the graph's entry; one link, to a node that is cut off and no query of the sample has
+    rng = np.random.default_rng(11)
+    x = embedding_dedup._unit(rng.normal(size=(2000, 32)))
+    q = embedding_dedup._unit(rng.normal(size=(500, 32)))
+    q[101] = embedding_dedup._unit((x[1500] + 0.03 * rng.normal(size=32))[None])[0]
+    assert q[101] @ x[1500] >= 0.95 and (q @ x.T >= 0.95).sum() == 1
+    g, cut, whole = embedding_dedup.Graph.build(x[:1000]), embedding_dedup.Graph(x), embedding_dedup.Graph.build(x)
+    cut.links, cut.rows = g.links, [np.append(r, np.full(1000, 0 if k == 0 else -1, np.int32)) for k, r in enumerate(g.rows)]
+    for worth in (embedding_dedup.WORTH, 4):  # a scan from the start; beams as far as they pass the audit
+        monkeypatch.setattr(embedding_dedup, "WORTH", worth)
+        for graph in (cut, whole):
+            found = [(a, b) for i, j in embedding_dedup.candidates(graph, q.astype(np.float32), 0.95) for a, b in zip(i, j, strict=True)]
+            assert found == [(101, 1500)]
+    assert not embedding_dedup._finds_planted(cut, 96, 0.95) and embedding_dedup._finds_planted(whole, 384, 0.95)
+
+
 def test_language(spark, docs):
     rng = random.Random(9)
     stems = {"aa": ["kor", "lim", "sta"], "bb": ["ñue", "za", "dor"], "cc": ["öch", "ung", "ßei"]}
