@@ -88,4 +88,5 @@ BUILTINS = {
     "type": lambda v: V.literal({"S": "string", "I": "int", "D": "float", "B": "bool", "A": "array", "M": "object", "N": "null"}.get(v.kind, "any")),
     "isinstance": lambda v, t: V.literal(v.kind == {"str": "S", "int": "I", "float": "D", "bool": "B", "list": "A", "dict": "M"}.get(str(t.const))),
     "print": lambda *a: V.NULL,
+    "sleep": lambda *a: V.NULL,  # accepted; a wait has no meaning in a plan
 }

@@ -5,6 +5,7 @@ A tool takes (setting, args, kwargs) of values. `attempt` gives its value and wh
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ class Tool:
     def __init__(self, name: str, params: list[str], make: Callable, ok: Callable | None = None, pure: bool = True):
         self.name, self.params, self.make, self.ok, self.pure = name, params, make, ok, pure
 
+    @property
+    def digest(self) -> str:
+        """Of what callers rely on: the name and its parameters."""
+        return hashlib.sha256(f"{self.name}({', '.join(self.params)})".encode()).hexdigest()
+
     def bind(self, args: list[Value], kw: dict[str, Value]) -> dict[str, Value]:
         given = dict(zip(self.params, args, strict=False)) | kw
         need = [p for p in self.params if not p.endswith("?")]
@@ -36,7 +42,12 @@ class Tool:
 
     def attempt(self, setting: object, args: list[Value], kw: dict[str, Value]) -> tuple[Value, Column]:
         a = self.bind(args, kw)
-        return self.make(setting, a), self.ok(setting, a) if self.ok else F.lit(True)
+        with V.faults() as found:
+            made = self.make(setting, a)
+        good = self.ok(setting, a) if self.ok else F.lit(True)
+        for bad in found:
+            good = good & ~bad
+        return made, good
 
 
 def tool(name: str, *params: str, ok: Callable | None = None, pure: bool = True) -> Callable:
@@ -54,24 +65,34 @@ def _field(x: Column, t: T.DataType, key: Value) -> tuple[Value, Column] | None:
     if isinstance(t, T.MapType):
         k = key.col.cast(t.keyType)
         return Value(F.try_element_at(x, k), t.valueType), F.coalesce(F.map_contains_key(x, k), F.lit(False))
+    if isinstance(t, T.VariantType):
+        of = F.try_variant_get(x, "$", "map<string,variant>")
+        k = V.text(key)
+        return Value(F.try_element_at(of, k), t), F.coalesce(F.map_contains_key(of, k), F.lit(False))
     return None
 
 
+def _array(v: Value) -> Value:
+    return V.elements(v) if v.kind == "V" else v
+
+
 @tool("array.len", "array")
 def _(s, a):  # noqa: ANN001, ANN202
-    return Value(F.size(a["array"].col).cast("long"), V.LONG)
+    return Value(F.size(_array(a["array"]).col).cast("long"), V.LONG)
 
 
 def _matches(a: dict[str, Value], strict: bool) -> Column | None:
-    array, key, value = a["array"], a["key"], a["value"]
+    array, key, value = _array(a["array"]), a["key"], a["value"]
     elem = array.type.elementType
     probe = _field(F.lit(None).cast(elem), elem, key)
-    if probe is None or strict and probe[0].kind != value.kind and value.kind != "N":
+    loose = probe is not None and "V" in (probe[0].kind, value.kind)
+    if probe is None or strict and not loose and probe[0].kind != value.kind and value.kind != "N":
         return None
 
     def test(x: Column) -> Column:
         field, has = _field(x, elem, key)
-        return has & V.equal(field, value)
+        hit = has & V.equal(field, value)
+        return hit & (V.is_whole(field) == V.is_whole(value)) if strict and loose else hit
 
     return F.filter(array.col, test)
 
@@ -85,19 +106,22 @@ def _(s, a):  # noqa: ANN001, ANN202
 @tool("array.find", "array", "key", "value")
 def _(s, a):  # noqa: ANN001, ANN202
     hits = _matches(a, strict=False)
-    return V.NULL if hits is None else Value(F.get(hits, F.lit(0)), a["array"].type.elementType)
+    return V.NULL if hits is None else Value(F.get(hits, F.lit(0)), _array(a["array"]).type.elementType)
 
 
 def _in_bounds(s, a):  # noqa: ANN001, ANN202
-    i = a["index"].col
-    return F.coalesce((i >= 0) & (i < F.size(a["array"].col)), F.lit(False))
+    i, items = a["index"].col.cast("int"), a["array"]
+    items = V.of_variant(items, "array<variant>") if items.kind == "V" else items.col
+    return F.coalesce((i >= 0) & (i < F.size(items)), F.lit(False))
 
 
 @tool("list.get", "array", "index", ok=_in_bounds)
 def _(s, a):  # noqa: ANN001, ANN202
-    t = a["array"].type.elementType
+    with V.faults():  # the bounds speak for an array that is none
+        items = _array(a["array"])
+    t = items.type.elementType
     i = a["index"].col.cast("int")
-    return Value(F.when(_in_bounds(s, a), F.get(a["array"].col, i)).otherwise(V.fail("list.get: index out of bounds", t)), t)
+    return Value(V.require(_in_bounds(s, a), F.get(items.col, i), "list.get: index out of bounds", t), t)
 
 
 @tool("dict.get", "obj", "key", "default?")
@@ -117,8 +141,8 @@ def _(s, a):  # noqa: ANN001, ANN202
     if schema is not None:  # typed where a schema is known; invalid text raises all the same
         t = T._parse_datatype_string(schema.const)
         v = F.from_json(a["json"].col, t, {"mode": "FAILFAST"})
-        return Value(F.when(_json_ok(s, a), v).otherwise(V.fail("json.parse: invalid JSON", t)), t)
-    return Value(F.when(_json_ok(s, a), F.try_parse_json(a["json"].col)).otherwise(V.fail("json.parse: invalid JSON", T.VariantType())), T.VariantType())
+        return Value(V.require(_json_ok(s, a), v, "json.parse: invalid JSON", t), t)
+    return Value(V.require(_json_ok(s, a), F.try_parse_json(a["json"].col), "json.parse: invalid JSON", V.VARIANT), V.VARIANT)
 
 
 @tool("json.get", "json", "path", "type?")
@@ -178,7 +202,7 @@ def _(s, a):  # noqa: ANN001, ANN202
 
 @tool("test.error", "message?", ok=lambda s, a: F.lit(False), pure=False)
 def _(s, a):  # noqa: ANN001, ANN202
-    return Value(V.fail("test.error", V.STRING), V.STRING)
+    return Value(V.require(F.lit(False), F.lit(None).cast("string"), "test.error", V.STRING), V.STRING)
 
 
 @tool("test.large", "n")

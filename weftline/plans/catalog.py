@@ -6,34 +6,60 @@ Tables are Parquet folders under one root. A graph's change is a new record, so
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
+from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import outside  # noqa: F401  (registers tools)
+from ..functions.tools import TOOLS
 from ..operators import relational as R
+from . import report, views
 from .frontend import Graph, compile_graph
-from .lower import apply_graph
+from .lower import Budget, BudgetError, apply_graph
 
 SCHEMAS = {
-    "graphs": "id string, name string, version long, status string, active boolean, code string, parent_id string, fork_node string, fork_label string, last_event string, seq long, at timestamp",
+    "graphs": "id string, name string, version long, status string, active boolean, code string, parent_id string, fork_node string, fork_label string, last_event string, tools string, seq long, at timestamp",
     "executions": "id string, graph_id string, graph_version long, input string, output string, status string, error string, started_at timestamp, completed_at timestamp, duration_us long, seq long",
-    "steps": "execution_id string, stage long, name string, status string, path string, seq long, at timestamp",
+    "steps": "id string, execution_id string, node_id string, node_op string, status string, error string, started_at timestamp, completed_at timestamp, duration_us long, parent_step_id string, seq long",
 }
 
 
+class SchemaDrift(RuntimeError):
+    pass
+
+
+def tool_digests(graph: Graph, tools: dict | None = None) -> dict[str, str]:
+    """Of each tool that a graph calls, the digest of its parameters."""
+    have = {**TOOLS, **(tools or {})}
+    return {t: have[t].digest for t, _ in graph.calls() if t in have}
+
+
+def check_drift(compiled: dict[str, str], graph: Graph, tools: dict | None = None) -> None:
+    """Raise where a tool's parameters are no longer those that the graph was stored with."""
+    for name, now in tool_digests(graph, tools).items():
+        if compiled.get(name, now) != now:
+            raise SchemaDrift(f"{name}: its parameters have changed since the graph was stored")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._compiled = lru_cache(64)(compile_graph)
 
-    def _append(self, table: str, **row: object) -> None:
+    def _append(self, table: str, *rows: dict[str, object], **row: object) -> None:
+        """One file for all rows."""
+        rows = rows or (row,)
         names = [f.split()[0] for f in SCHEMAS[table].split(", ")]
-        row["seq"] = time.time_ns()
-        now = F.timestamp_micros(F.lit(row["seq"] // 1000))
-        df = self.spark.createDataFrame([tuple(row.get(n) for n in names)], ", ".join(f.replace(" timestamp", " string") for f in SCHEMAS[table].split(", ")))
+        seq = time.time_ns()
+        now = F.timestamp_micros(F.lit(seq // 1000))
+        rows = [{**r, "seq": seq + i} for i, r in enumerate(rows)]
+        df = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f.replace(" timestamp", " string") for f in SCHEMAS[table].split(", ")))
         stamps = [f.split()[0] for f in SCHEMAS[table].split(", ") if f.endswith(" timestamp")]
         df.withColumns({c: F.coalesce(F.col(c).cast("timestamp"), now) if c == "at" else F.col(c).cast("timestamp") for c in stamps}).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
 
@@ -64,14 +90,14 @@ class Catalog:
     def create(self, name: str, code: str) -> str:
         compile_graph(code)
         graph_id = uuid.uuid4().hex
-        self._append("graphs", id=graph_id, name=name, version=1, status="draft", active=False, code=code, last_event="create")
+        self._append("graphs", id=graph_id, name=name, version=1, status="draft", active=False, code=code, last_event="create", tools=json.dumps(tool_digests(compile_graph(code))))
         return graph_id
 
     def update(self, name: str, code: str) -> int:
         compile_graph(code)
         g = self._one(name)
         version = self._next(g["id"])
-        self._append("graphs", **{**g, "version": version, "code": code, "status": "draft", "last_event": f"update:{version}", "at": None})
+        self._append("graphs", **{**g, "version": version, "code": code, "status": "draft", "last_event": f"update:{version}", "tools": json.dumps(tool_digests(compile_graph(code))), "at": None})
         return version
 
     def deploy(self, name: str) -> None:
@@ -84,13 +110,13 @@ class Catalog:
         if not old:
             raise KeyError(f"{name} has no version {version}")
         new = self._next(g["id"])
-        self._append("graphs", **{**g, "version": new, "code": old[0]["code"], "status": "deployed", "active": True, "last_event": f"rollback:{version}", "at": None})
+        self._append("graphs", **{**g, "version": new, "code": old[0]["code"], "tools": old[0]["tools"], "status": "deployed", "active": True, "last_event": f"rollback:{version}", "at": None})
         return new
 
     def fork(self, name: str, label: str, node: str | None = None) -> str:
         g = self._one(name)
         child = uuid.uuid4().hex
-        self._append("graphs", id=child, name=f"{g['name']}-{label}", version=1, status="draft", active=False, code=g["code"], parent_id=g["id"], fork_node=node, fork_label=label, last_event="fork")
+        self._append("graphs", id=child, name=f"{g['name']}-{label}", version=1, status="draft", active=False, code=g["code"], tools=g["tools"], parent_id=g["id"], fork_node=node, fork_label=label, last_event="fork")
         return child
 
     def versions(self, graph_id: str) -> DataFrame:
@@ -110,19 +136,52 @@ class Catalog:
             out += [k for k, optional in self.load(g).env_keys().items() if not optional and scope.get(k) is None]
         return list(dict.fromkeys(out))
 
-    def execute(self, name: str, df: DataFrame, path: str, env: object = None, **how: object) -> DataFrame:
-        """Run a graph over df into a Parquet table and record it; a failure is recorded and raised."""
+    def execute(self, name: str, df: DataFrame, path: str, env: object = None, budget: Budget | None = None, observer: Callable[[str, str, str], None] | None = None, **how: object) -> DataFrame:
+        """Run a graph over df into a Parquet table and record it and its steps; a failure is recorded and raised.
+
+        A budget's milliseconds end the run's jobs. The observer is told (event, node, op): "start" of every node as the
+        plan is made, "done" when the table is written.
+        """
         g, started = self._one(name), time.time()
         if env is not None and (lacking := self.missing_env(name, env)):
             raise KeyError(f"missing environment: {', '.join(lacking)}")
-        run = uuid.uuid4().hex
-        stamp = lambda t: F.timestamp_seconds(F.lit(t))
-        record = {"id": run, "graph_id": g["id"], "graph_version": g["version"], "input": json.dumps(df.columns), "started_at": self.spark.range(1).select(stamp(started).cast("string")).first()[0]}
+        graph = self._compiled(g["code"])
+        check_drift(json.loads(g["tools"] or "{}"), graph, how.get("tools"))
+        run, nodes = uuid.uuid4().hex, views.plan_of(graph).nodes
+        stamp = lambda t: str(datetime.fromtimestamp(t, UTC).replace(tzinfo=None)) + "+00:00"
+        record = {"id": run, "graph_id": g["id"], "graph_version": g["version"], "input": json.dumps(df.columns), "started_at": stamp(started)}
         self._append("executions", **record, status="running")
+        tell = observer or (lambda *_: None)
+        for n in nodes:
+            tell("start", str(n.id), n.op)
+        limit = budget.millis if budget else None
+        timer = threading.Timer(limit / 1000, self.spark.interruptTag, [run]) if limit else None
         try:
-            apply_graph(df, self._compiled(g["code"]), subgraphs=self.load, env=env, **how).write.mode("overwrite").parquet(path)
+            self.spark.addTag(run)
+            if timer:
+                timer.start()
+            apply_graph(df, graph, subgraphs=self.load, env=env, budget=budget, **how).write.mode("overwrite").parquet(path)
         except Exception as e:
-            self._append("executions", **record, status="failed", error=str(e)[:2000], duration_us=int((time.time() - started) * 1e6))
+            late = limit and time.time() - started >= limit / 1000
+            self._append("executions", **record, status="failed", error="time budget exceeded" if late else str(e)[:2000], completed_at=stamp(time.time()), duration_us=int((time.time() - started) * 1e6))
+            if late:
+                raise BudgetError(f"{name} ran longer than {limit} ms") from e
             raise
-        self._append("executions", **record, status="completed", output=path, duration_us=int((time.time() - started) * 1e6))
+        finally:
+            self.spark.removeTag(run)
+            if timer:
+                timer.cancel()
+        ended = time.time()
+        self._append("executions", **record, status="completed", output=path, completed_at=stamp(ended), duration_us=int((ended - started) * 1e6))
+        # one plan runs all nodes at once: each has an equal part of the time, in order
+        each, steps = int((ended - started) * 1e6) // max(1, len(nodes)), []
+        for i, n in enumerate(nodes):
+            begin = (int(started * 1e6) + i * each) / 1e6
+            steps.append({"id": f"{run}-{i}", "execution_id": run, "node_id": str(n.id), "node_op": n.op, "status": "completed", "started_at": stamp(begin), "completed_at": stamp((int(started * 1e6) + (i + 1) * each) / 1e6), "duration_us": each, "parent_step_id": f"{run}-{i - 1}" if i else None})
+            tell("done", str(n.id), n.op)
+        if steps:
+            self._append("steps", *steps)
         return self.spark.read.parquet(path)
+
+    def steps(self, execution_id: str) -> DataFrame:
+        return report.steps_of(self.table("steps"), execution_id)

@@ -12,6 +12,11 @@ from .lower import apply_graph
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
+def loop_stages(name: str, body: Callable[[DataFrame], DataFrame], rounds: int) -> list[Stage]:
+    """A loop over whole tables as stages, one a round: its cursor is the number of whole ones, so it resumes in mid-loop."""
+    return [(f"{name}-{i}", body) for i in range(rounds)]
+
+
 def graph_stage(name: str, code: str, output: str, **how: object) -> Stage:
     return name, lambda df: apply_graph(df, code, output=output, **how)
 
@@ -35,14 +40,17 @@ class Run:
             n += 1
         return n
 
-    def run(self, source: DataFrame, pause_after: int | None = None, pause_at: set[str] = frozenset()) -> DataFrame | None:
-        """Go on from the last whole stage; None if the policy pauses the run before its end."""
+    def run(self, source: DataFrame, pause_after: int | None = None, pause_at: set[str] = frozenset(), observer: Callable[[str, str], None] | None = None) -> DataFrame | None:
+        """Go on from the last whole stage; None if the policy pauses the run before its end. The observer is told (event, stage)."""
+        tell = observer or (lambda *_: None)
         at = self.done()
         df = self.spark.read.parquet(self._path(at - 1)) if at else source
         for i in range(at, len(self.stages)):
             name, step = self.stages[i]
+            tell("start", name)
             step(df).write.mode("overwrite").parquet(self._path(i))
             df = self.spark.read.parquet(self._path(i))
+            tell("done", name)
             if i + 1 < len(self.stages) and (pause_after is not None and i + 1 - at >= pause_after or name in pause_at):
                 return None
         return df

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import ast
+import urllib.parse
+from collections import Counter
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .frontend import Graph
+from .views import plan_of
+
+if TYPE_CHECKING:
+    from .catalog import Catalog
+
 #: Executions of a graph that its statistics cover: the latest ones.
 LATEST = 500
 
@@ -20,7 +30,7 @@ class Profile:
     focus: tuple[str, ...]
 
 
-# The built-in roles and the sections that each sees.
+# The built-in roles, their views and directions, and the sections that each sees.
 PROFILES = {
     p.name: p
     for p in (
@@ -28,8 +38,8 @@ PROFILES = {
         Profile("ba", "BA", "summary", "td", ("duration", "structure", "endpoints", "churn")),
         Profile("ceo", "CEO", "summary", "lr", ("portfolio", "executions", "reliability")),
         Profile("architect", "Architect", "layers", "td", ("structure", "subgraphs", "endpoints", "tools")),
-        Profile("senior", "Senior Engineer", "full", "td", ("structure", "tools", "env", "churn")),
-        Profile("ops", "Operations", "full", "td", ("executions", "duration", "reliability", "env")),
+        Profile("senior", "Senior Engineer", "full", "td", ("structure", "tools", "churn", "reliability")),
+        Profile("devops", "DevOps", "full", "td", ("reliability", "endpoints", "env", "duration")),
     )
 }
 
@@ -77,6 +87,49 @@ def url_host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+def steps_of(steps: DataFrame, execution_id: object) -> DataFrame:
+    """An execution's steps by their start."""
+    return steps.where(F.col("execution_id") == execution_id).orderBy("started_at", "id")
+
+
+def plan_facts(spark: SparkSession, graphs: dict[str, Graph], env: object = None) -> DataFrame:
+    """A row for each graph by id: nodes, edges, tool calls by number, hosts that it calls, subgraphs, environment keys and those missing."""
+    rows = []
+    for key, g in graphs.items():
+        plan, calls = plan_of(g), Counter(t for t, _ in g.calls() if not t.startswith("subgraph:"))
+        urls = [k.value.value for t, n in g.calls() if t == "http_request" for k in n.keywords if k.arg == "url" and isinstance(k.value, ast.Constant)]
+        hosts = list(dict.fromkeys(h for u in urls if (h := urllib.parse.urlsplit(str(u)).hostname)))
+        keys = g.env_keys()
+        lacking = [k for k, optional in keys.items() if not optional and env is not None and env.get(k) is None]
+        tools = [f"{t} x{n}" for t, n in sorted(calls.items(), key=lambda x: (-x[1], x[0]))]
+        rows.append((key, len(plan.nodes), len(plan.edges), tools, hosts, g.subgraphs(), [k + " (opt)" * o for k, o in keys.items()], lacking))
+    return spark.createDataFrame(rows, "id string, nodes int, edges int, tools array<string>, endpoints array<string>, subgraphs array<string>, env array<string>, missing array<string>")
+
+
+def sections(catalog: Catalog, env: object = None) -> dict[str, DataFrame]:
+    """The ten sections over a catalog's graphs and executions; graphs go by name."""
+    graphs = catalog.graphs().drop("tools")
+    versions = catalog.table("graphs").groupBy("id").agg(F.count_distinct("version").alias("versions"))
+    facts = plan_facts(catalog.spark, {r["id"]: catalog.load(r["id"]) for r in graphs.select("id").collect()}, env)
+    stats = graph_stats(catalog.executions())
+    all_ = graphs.join(stats.withColumnRenamed("graph_id", "id"), "id", "left").join(versions, "id").join(facts, "id").withColumnsRenamed({"name": "graph"})
+    n = F.coalesce("executions", F.lit(0))
+    some = lambda c: all_.where(F.size(c) > 0).select("graph", F.array_join(c, ", ").alias(c)).orderBy("graph")
+    env_rows = all_.where((F.size("env") > 0) | (F.size("missing") > 0))
+    return {
+        "portfolio": all_.select("graph", "version", "status", "last_event", n.alias("executions"), F.coalesce("failed", F.lit(0)).alias("failed"), "avg_duration_us", "p95_duration_us").orderBy("graph"),
+        "executions": portfolio(graphs, stats),
+        "reliability": all_.where("executions > 0").select("graph", "failure_rate", "failed", "executions").orderBy(F.desc("failure_rate"), "graph"),
+        "duration": all_.where("p95_duration_us is not null").select("graph", "p95_duration_us", "avg_duration_us", "executions").orderBy("p95_duration_us", "graph"),
+        "tools": some("tools"),
+        "endpoints": some("endpoints"),
+        "env": env_rows.select("graph", F.array_join("env", ", ").alias("env"), F.array_join("missing", ", ").alias("missing")).orderBy("graph"),
+        "structure": all_.select("graph", "nodes", "edges", F.array_join("subgraphs", ", ").alias("subgraphs")).orderBy("graph"),
+        "subgraphs": some("subgraphs"),
+        "churn": all_.select("graph", "versions", "last_event").orderBy(F.desc("versions"), "graph"),
+    }
+
+
 def render(profile: Profile, sections: dict[str, DataFrame], rows: int = 50) -> str:
     """Fixed-width text of the sections in a profile's focus; each shows its first rows only."""
     out = [f"report: {profile.label}", ""]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.env import Env
@@ -103,6 +103,11 @@ def decide_tier(spark: SparkSession, d: str) -> DataFrame:
 graph("decide_elif", "part", ["p_partkey"], "def graph(p_size):\n    if p_size > 40:\n        r = 'xl'\n    elif p_size > 20:\n        r = 'l'\n    elif p_size > 10:\n        r = 'm'\n    else:\n        r = 's'\n    return r", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'xl' WHEN p_size > 20 THEN 'l' WHEN p_size > 10 THEN 'm' ELSE 's' END AS result FROM part")
 graph("early_return", "orders", ["o_orderkey"], "def graph(o_totalprice, o_orderstatus):\n    if o_totalprice < 1000:\n        return 0\n    fee = o_totalprice * 0.01\n    if o_orderstatus == 'F':\n        return fee\n    return fee * 2", "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 0 WHEN o_orderstatus = 'F' THEN o_totalprice * 0.01e0 ELSE o_totalprice * 0.01e0 * 2 END AS result FROM orders")
 graph("switch_status", "orders", ["o_orderkey"], "def graph(o_orderstatus):\n    match o_orderstatus:\n        case 'F':\n            r = 'finished'\n        case 'O' | 'P':\n            r = 'open'\n        case _:\n            r = 'unknown'\n    return r", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'finished' WHEN o_orderstatus IN ('O', 'P') THEN 'open' ELSE 'unknown' END AS result FROM orders")
+graph("chain_100", "part", ["p_partkey"], "def graph(p_size):\n    x = p_size\n" + "    x = x + 1\n" * 100 + "    return x", "SELECT p_partkey, p_size::BIGINT + 100 AS result FROM part")
+graph("doubling_20", "part", ["p_partkey"], "def graph(p_size):\n    x = p_size\n" + "    x = x + x\n" * 20 + "    return x", "SELECT p_partkey, p_size::BIGINT * 1048576 AS result FROM part")
+graph("many_ifs", "part", ["p_partkey"], "def graph(p_partkey):\n    n = 0\n" + "".join(f"    if p_partkey // {2**k} % 2 == 1:\n        n = n + {k + 1}\n" for k in range(30)) + "    return n", "SELECT p_partkey, list_sum([CASE WHEN (p_partkey >> k) & 1 = 1 THEN k + 1 ELSE 0 END for k in range(30)])::BIGINT AS result FROM part")
+graph("ifs_in_loop", "quantities", ["l_orderkey"], "def graph(items):\n    n = 0\n    for x in items:\n        y = x\n" + "".join(f"        if y > {5 * k}:\n            y = y - {k}\n            n = n + y\n" for k in range(1, 9)) + "    return n", f"WITH {_QUANTITIES}, u AS (SELECT l_orderkey, unnest(items) AS y0 FROM c), " + ", ".join(f"s{k} AS (SELECT l_orderkey, CASE WHEN y{k - 1} > {5 * k} THEN y{k - 1} - {k} ELSE y{k - 1} END AS y{k}, {'0' if k == 1 else 'n'} + CASE WHEN y{k - 1} > {5 * k} THEN y{k - 1} - {k} ELSE 0 END AS n FROM {'u' if k == 1 else f's{k - 1}'})" for k in range(1, 9)) + " SELECT l_orderkey, sum(n)::BIGINT AS result FROM s8 GROUP BY l_orderkey")
+graph("decide_error", "quantities", ["l_orderkey"], "def graph(items):\n    if items[3] > 10 or items[5] > 0:\n        return 1\n    if 100 / (items[0] - 7) > 3 and len(items) > 1:\n        return 2\n    return 0", f"WITH {_QUANTITIES} SELECT l_orderkey, CASE WHEN len(items) >= 4 AND (items[4] > 10 OR len(items) >= 6 AND items[6] > 0) THEN 1 WHEN items[1] <> 7 AND CASE WHEN items[1] = 7 THEN 0 ELSE 100 // (items[1] - 7) END > 3 AND len(items) > 1 THEN 2 ELSE 0 END::BIGINT AS result FROM c")
 graph("assert_holds", "part", ["p_partkey"], "def graph(p_size):\n    assert p_size >= 0\n    if p_size < 0:\n        raise ValueError('negative')\n    return p_size", "SELECT p_partkey, p_size AS result FROM part")
 
 # loops
@@ -121,22 +126,9 @@ _MERGED = {
     "sum": "100 + p_size + 5 + p_size * 2::BIGINT", "avg": "((100 + p_size + 5) / 2.0e0 + p_size * 2) / 2",
 }
 
-def _merge(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        from .plans import values as V
-        from .plans.merge import merge_branches
-
-        df = _t(spark, d, "part")
-        size = V.Value(F.col("p_size").cast("long"), V.LONG)
-        outer = {"r": V.literal("start") if strategy == "concat" else V.literal(100)}
-        branches = [{"r": V.literal("a")}, {"r": V.Value(F.col("p_brand"), V.STRING)}] if strategy == "concat" else [{"r": V.binary("+", size, V.literal(5))}, {"r": V.binary("*", size, V.literal(2))}]
-        return df.select("p_partkey", merge_branches(outer, branches, {"r": strategy})["r"].col.alias("result"))
-
-    return run
-
-
-for _k, _sql in {**_MERGED, "concat": "'start' || 'a' || p_brand"}.items():
-    QUERIES[f"merge_{_k}"], ORACLE[f"merge_{_k}"] = _merge(_k), f"SELECT p_partkey, {_sql} AS result FROM part"
+for _k, _sql in _MERGED.items():
+    graph(f"merge_{_k}", "part", ["p_partkey"], "def graph(p_size):\n    r = 100\n    with PARALLEL():\n        r = p_size + 5\n        r = p_size * 2\n    return r", f"SELECT p_partkey, {_sql} AS result FROM part", merge={"r": _k})
+graph("merge_concat", "part", ["p_partkey"], "def graph(p_brand):\n    r = 'start'\n    with PARALLEL():\n        r = 'a'\n        r = p_brand\n    return r", "SELECT p_partkey, 'start' || 'a' || p_brand AS result FROM part", merge={"r": "concat"})
 graph("parallel_block", "part", ["p_partkey"], "def graph(p_size, p_retailprice):\n    with PARALLEL() as p:\n        a = p_size + 1\n        b = p_retailprice * 2\n    return a + b", "SELECT p_partkey, p_size + 1 + p_retailprice * 2 AS result FROM part")
 
 # tools
@@ -147,7 +139,14 @@ graph("list_get", "carts", ["l_orderkey"], "def graph(items):\n    x = call('lis
 graph("dict_get", "maps", ["p_partkey"], "def graph(m):\n    return call('dict.get', obj=m, key='none', default=5) + call('dict.get', obj=m, key='size', default=0)", "SELECT p_partkey, 5 + p_size::BIGINT AS result FROM part")
 graph("json_parse_props", "events", ["event_id"], "def graph(props):\n    p = call('json.parse', json=props, schema='struct<k:bigint>')\n    return p.k * 2", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) * 2 AS result FROM events")
 graph("json_variant", "events", ["event_id"], "def graph(props):\n    return int(call('json.parse', json=props)['k'])", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS result FROM events")
-graph("on_error_null", "events", ["event_id"], "def graph(event_type):\n    return str(call('json.parse', json=event_type, on_error='continue_with_null')) == None", "SELECT event_id, true AS result FROM events")
+graph("on_error_null", "events", ["event_id"], "def graph(event_type, props):\n    x = props if event_type == 'click' else event_type\n    return call('json.parse', json=x, on_error='continue_with_null') == None", "SELECT event_id, event_type <> 'click' AS result FROM events")
+graph("json_variant_compare", "events", ["event_id"], "def graph(props):\n    p = call('json.parse', json=props)\n    return p['k'] > 50 and not p['k'] >= 90 and 3 < p.k and not p['k'] > 'a'", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AND CAST(json_extract(props, '$.k') AS BIGINT) < 90 AS result FROM events")
+graph("json_variant_eq", "events", ["event_id"], "def graph(props, user_id):\n    p = call('json.parse', json=props)\n    q = call('json.parse', json='{\"k\": ' + user_id + ', \"s\": \"x\", \"z\": null}')\n    n = 0\n    if p['k'] == 12:\n        n = n + 1\n    if p['k'] == q['k']:\n        n = n + 10\n    if p['k'] != '12' and q['s'] == 'x' and q['z'] == None:\n        n = n + 100\n    return n", "SELECT event_id, (k = 12)::BIGINT + 10 * (k = user_id)::BIGINT + 100 AS result FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+graph("json_variant_truthy", "events", ["event_id"], "def graph(props):\n    p = call('json.parse', json=props)\n    if p['k']:\n        return 1\n    return 0", "SELECT event_id, (CAST(json_extract(props, '$.k') AS BIGINT) <> 0)::BIGINT AS result FROM events")
+graph("json_variant_loop", "events", ["event_id"], "def graph(user_id):\n    a = call('json.parse', json='[' + user_id + ', 2, 3.5, \"x\"]')\n    t = 0\n    for x in a:\n        if x == 'x':\n            break\n        t = t + x\n    return float(t)", "SELECT event_id, user_id + 5.5::DOUBLE AS result FROM events")
+graph("json_variant_len", "events", ["event_id"], "def graph(props, user_id):\n    a = call('json.parse', json='[' + user_id + ', [1, 2], \"xyz\"]')\n    return len(a) + 10 * len(a[1]) + 100 * len(a[-1]) + 1000 * len(call('json.parse', json=props)) + int(a[0] * 2)", "SELECT event_id, (3 + 20 + 300 + 1000 + user_id * 2)::BIGINT AS result FROM events")
+graph("json_variant_tools", "events", ["event_id"], "def graph(user_id):\n    a = call('json.parse', json='[{\"u\": ' + user_id + '}, {\"u\": 12}, {\"u\": 12.0}, {\"v\": 1}]')\n    return call('array.count_where', array=a, key='u', value=12) * 10 + call('array.len', array=a)", "SELECT event_id, 14 + CASE WHEN user_id = 12 THEN 10 ELSE 0 END::BIGINT AS result FROM events")
+graph("sqlite_query", "part", ["p_partkey"], "def graph(p_size, p_brand):\n    if p_size > 10:\n        r = call('sqlite.query', query='SELECT ? * 2 AS d, upper(?) AS s UNION ALL SELECT 1, NULL', params=[p_size, p_brand], schema='array<struct<d:bigint,s:string>>')\n        return r[0].d + ':' + r[0]['s'] + len(r)\n    return 'x' + call('sqlite.query', query='SELECT nothing', on_error='continue_with_fallback', fallback_value='none')", "SELECT p_partkey, CASE WHEN p_size > 10 THEN (p_size * 2) || ':' || upper(p_brand) || '2' ELSE 'xnone' END AS result FROM part")
 graph("on_error_fallback", "events", ["event_id"], "def graph(user_id):\n    return call('list.get', array=[10, 20, 30], index=user_id, on_error='continue_with_fallback', fallback_value=-1)", "SELECT event_id, CASE user_id WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE -1 END::BIGINT AS result FROM events")
 graph("text_reverse", "nation", ["n_nationkey"], "def graph(n_name):\n    return call('text.reverse', text=n_name)", "SELECT n_nationkey, reverse(n_name) AS result FROM nation")
 graph("math_add", "part", ["p_partkey"], "def graph(p_size):\n    return call('math.add', p_size, 2)", "SELECT p_partkey, p_size::DOUBLE + 2 AS result FROM part")
@@ -168,7 +167,7 @@ _SQL = {
     "full_join": "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey + 100",
     "theta_join": "SELECT a.r_name AS low, b.r_name AS high FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
     "semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
-    "anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "group": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS price, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15",
     "rollup": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)",
@@ -176,7 +175,7 @@ _SQL = {
     "window": "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS q FROM lineitem",
     "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT c_custkey, round(t, 2) AS t FROM big JOIN customer ON c_custkey = o_custkey WHERE t > (SELECT avg(t) FROM big) * 2",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "recursive": "WITH RECURSIVE r(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r",
@@ -247,9 +246,11 @@ def tool_histogram(spark: SparkSession, d: str) -> DataFrame:
     return report.histogram(_t(spark, d, "events"), "event_type")
 
 
-@query("endpoint_hosts", "SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/:?#]+')")
+@query("endpoint_hosts", "SELECT host, row_number() OVER (ORDER BY first, host)::BIGINT AS nth FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, min(page_id) AS first FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/:?#]+') GROUP BY 1)")
 def endpoint_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select(report.url_host(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = _t(spark, d, "pages").select(report.url_host(F.col("url")).alias("host"), "page_id")
+    ordered = R.in_order(hosts, "host", [F.col("page_id")])
+    return ordered.select("host", (F.monotonically_increasing_id()).alias("m")).select("host", F.row_number().over(Window.orderBy("m")).cast("long").alias("nth"))
 
 
 @query("topn_per_key", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
@@ -273,9 +274,50 @@ def search_like(spark: SparkSession, d: str) -> DataFrame:
     return R.like_search(docs, ["text"], "er_st%").unionByName(R.like_search(docs, ["source"], "SRC1")).select("doc_id").distinct()
 
 
-@query("search_ranked")
+_BM25 = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS f0, len(list_filter(w, lambda x: x = 'that')) AS f1 FROM t),
+g AS (SELECT count(*) AS docs, avg(len) AS a, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c)
+SELECT doc_id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / a)), 6) AS score
+FROM c, g WHERE f0 > 0 AND f1 > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query("search_ranked", _BM25)
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return R.full_text_search(_t(spark, d, "documents"), "doc_id", "text", "the that", 20)
+    return R.full_text_search(_t(spark, d, "documents"), "doc_id", "text", "the that", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_ASOF = "SELECT c.event_id, p.value AS asof_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON c.user_id = p.user_id AND c.ts >= p.ts"
+
+
+@query("asof_join", _ASOF)
+def asof_join(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    return R.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"]).select("event_id", "asof_value")
+
+
+@query("interval_join", "SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON e.value >= p.p_size * 10 AND e.value < p.p_size * 10 + 3 WHERE p.p_partkey <= 200")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    ranges = _t(spark, d, "part").where("p_partkey <= 200").select("p_partkey", (F.col("p_size") * 10).cast("double").alias("low"), (F.col("p_size") * 10 + 3).cast("double").alias("high"))
+    return R.interval_join(_t(spark, d, "events").select("event_id", "value"), ranges, "value", "low", "high", 3.0).select("event_id", "p_partkey")
+
+
+@query("approx_counts", "SELECT o_orderstatus, true AS near FROM orders GROUP BY 1")
+def approx_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sketched distinct counts and quantiles that lie within their bounds of the exact ones."""
+    g = _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("n"), F.percentile_approx("o_totalprice", 0.5, 10000).alias("q"), F.expr("percentile(o_totalprice, 0.49)").alias("lo"), F.expr("percentile(o_totalprice, 0.51)").alias("hi"))
+    return g.select("o_orderstatus", ((F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n") + 1) & F.col("q").between(F.col("lo"), F.col("hi"))).alias("near"))
+
+
+@query("json_inputs_nulls", "SELECT * FROM (VALUES (9007199254740993::BIGINT, NULL, 1.5::DOUBLE), (1, 'b', NULL), (NULL, 'c', 2.0)) t(n, s, d)")
+def json_inputs_nulls(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.json_inputs(spark, ['{"n": 9007199254740993, "s": null, "d": 1.5}', '{"n": 1, "s": "b"}', '{"s": "c", "d": 2}'])
+
+
+@query("steps_in_order", "SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS nth FROM events WHERE user_id = 12")
+def steps_in_order(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("execution_id"), F.col("ts").alias("started_at"))
+    steps = report.steps_of(e, 12)
+    return steps.select("id", F.row_number().over(Window.partitionBy("execution_id").orderBy("started_at", "id")).cast("long").alias("nth"))
 
 
 @query("env_missing_keys", "SELECT DISTINCT p_brand AS key FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 49 AND p_brand IS NOT NULL)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import urllib.parse
 from collections.abc import Iterable, Iterator
@@ -9,14 +10,82 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _json_type(x: object) -> T.DataType:
+    if x is None:
+        return T.NullType()
+    if isinstance(x, bool):
+        return T.BooleanType()
+    if isinstance(x, int):
+        return T.LongType() if -(2**63) <= x < 2**63 else T.DoubleType()
+    if isinstance(x, float):
+        return T.DoubleType()
+    if isinstance(x, str):
+        return T.StringType()
+    if isinstance(x, list):
+        return T.ArrayType(functools.reduce(_wider, map(_json_type, x), T.NullType()))
+    return T.StructType([T.StructField(k, _json_type(v)) for k, v in x.items()])
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type of values of both, a variant where they have none in common."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if {type(a), type(b)} == {T.LongType, T.DoubleType}:
+        return T.DoubleType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_wider(a.elementType, b.elementType))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        both = {f.name: f.dataType for f in a}
+        for f in b:
+            both[f.name] = _wider(both.get(f.name, T.NullType()), f.dataType)
+        return T.StructType([T.StructField(k, t) for k, t in both.items()])
+    return T.VariantType()
+
+
+def _settled(t: T.DataType) -> T.DataType:
+    """Null alone is text."""
+    if isinstance(t, T.NullType):
+        return T.StringType()
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_settled(t.elementType))
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _settled(f.dataType)) for f in t])
+    return t
+
+
+def _shaped(x: object, t: T.DataType) -> object:
+    if x is None:
+        return None
+    if isinstance(t, T.DoubleType):
+        return float(x)
+    if isinstance(t, T.ArrayType):
+        return [_shaped(v, t.elementType) for v in x]
+    if isinstance(t, T.StructType):
+        return tuple(_shaped(x.get(f.name), f.dataType) for f in t)
+    return x
 
 
 def json_inputs(spark: SparkSession, objects: list[str | dict], schema: str | None = None) -> DataFrame:
-    """A row for each JSON object; anything but an object is an error."""
+    """A row for each JSON object; anything but an object is an error.
+
+    Types come from the values: whole numbers stay 64-bit, a key that is missing or null is null, a key whose values
+    have no type in common is parsed JSON (a variant).
+    """
     parsed = [json.loads(o) if isinstance(o, str) else o for o in objects]
     if not all(isinstance(o, dict) for o in parsed):
         raise ValueError("inputs are JSON objects")
-    return spark.createDataFrame([dict(o) for o in parsed], schema) if schema else spark.createDataFrame(pd.DataFrame(parsed))
+    if schema:
+        return spark.createDataFrame(parsed, schema)
+    kinds = {f.name: _settled(f.dataType) for f in functools.reduce(_wider, map(_json_type, parsed), T.StructType())}
+    loose = {k for k, t in kinds.items() if "variant" in t.simpleString()}
+    rows = [tuple((None if k not in o else json.dumps(o[k])) if k in loose else _shaped(o.get(k), t) for k, t in kinds.items()) for o in parsed]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField(k, T.StringType() if k in loose else t) for k, t in kinds.items()]))
+    return df.withColumns({k: F.parse_json(k) for k in loose}) if loose else df
 
 
 def sniff(value: str) -> object:
@@ -61,7 +130,7 @@ def jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, int, i
 
 def http_requests(df: DataFrame, url_col: str = "url", method: str = "GET", headers: dict | None = None, body_col: str | None = None, timeout: int = 30) -> DataFrame:
     """df with status, body and error of a request a row, made on the executors; statuses outside 2xx are errors."""
-    schema = df.schema.add("status", "int").add("body", "string").add("error", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("status", T.IntegerType()), T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import urllib.request
