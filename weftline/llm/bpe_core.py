@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -13,6 +14,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 _SHIFT = 20
+#: Bytes from which a string is merged in linked arrays, where a round costs its own places and not the string's length.
+LONG = 2048
 
 
 def byte_symbols() -> list[str]:
@@ -82,6 +85,62 @@ class BPETables:
         Rank-synchronous: in every round each string applies its own lowest-rank pair at all places, left to
         right, all strings at once. A string without a pair left leaves the arrays.
         """
+        long = [i for i, x in enumerate(strings) if len(x) >= LONG]
+        if not long:
+            return self._merge_short(strings)
+        flat, n = self._merge_short([b"" if len(x) >= LONG else x for x in strings])
+        parts, at = [], 0
+        ends = np.cumsum(n)
+        for i in long:
+            parts += [flat[at : ends[i]], self._merge_long(strings[i])]
+            at, n[i] = ends[i], len(parts[-1])
+        return np.concatenate([*parts, flat[at:]]), n
+
+    def _merge_long(self, string: bytes) -> np.ndarray:
+        """One string: its lowest rank's places are merged all at once, then those of the next; only their neighbours are ranked again."""
+        sym = self.first[np.frombuffer(string, np.uint8)]
+        n = len(sym)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank = np.append(self.rank(sym[:-1], sym[1:]), NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            new, first = np.unique(rank[at], return_index=True)
+            for r, x in zip(new.tolist(), np.split(at, first[1:]), strict=True):
+                if r not in places:
+                    heapq.heappush(heap, r)
+                places.setdefault(r, []).append(x)
+
+        put(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            new = np.append(True, after[at[:-1]] != at[1:])  # of equal pairs that overlap, every second one from the left
+            run = np.flatnonzero(new)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            rank[gone], alive[gone] = NONE, False
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left = before[at]
+            touched = np.unique(np.append(at, left[left >= 0]))
+            rank[touched] = NONE
+            pair = touched[after[touched] < n]
+            rank[pair] = self.rank(sym[pair], sym[after[pair]])
+            put(pair)
+        return sym[alive]
+
+    def _merge_short(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = len(strings)
         size = np.fromiter(map(len, strings), np.int64, n)
         out_n = np.zeros(n, np.int64)
@@ -133,21 +192,22 @@ class BPETables:
 
     def fragments(self, pieces: list[bytes]) -> list[list[bytes]]:
         """Pre-tokens, each cut between every two bytes that no token of the vocabulary holds side by side."""
-        out = [[p] for p in pieces]
-        x = np.frombuffer(b"".join(pieces), np.uint8)
+        whole = b"".join(pieces)
+        x = np.frombuffer(whole, np.uint8)
         if len(x) < 2:
-            return out
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        end = np.cumsum(size)
+            return [[p] for p in pieces]
+        end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         cut = ~self.inside[x[:-1], x[1:]]
         cut[end[:-1][(end[:-1] > 0) & (end[:-1] < len(x))] - 1] = False
         at = np.flatnonzero(cut) + 1
-        owner = np.searchsorted(end, at, side="right")
-        at -= (end - size)[owner]
-        for k, i in zip(owner.tolist(), at.tolist(), strict=True):
-            last = out[k].pop()
-            i -= len(pieces[k]) - len(last)
-            out[k] += [last[:i], last[i:]]
+        inner = np.searchsorted(at, end, side="left")  # cuts before each piece's end
+        some = np.flatnonzero(np.diff(inner, prepend=0))
+        out = [[p] for p in pieces]
+        cuts = at.tolist()
+        for k in some.tolist():
+            lo, hi = (int(end[k - 1]) if k else 0), int(end[k])
+            edges = [lo, *cuts[inner[k - 1] if k else 0 : inner[k]], hi]
+            out[k] = [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
 
