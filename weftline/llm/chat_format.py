@@ -35,9 +35,9 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    # line ends first, but not those whose backslash is itself escaped: pairs of backslashes wait as \0
-    waits = F.replace(role, F.lit("\\\\"), F.lit("\x00"))
-    return unescape(F.replace(F.replace(waits, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\")))
+    # pairs of backslashes part the text, so a backslash left before an n is a line end's
+    parts = F.split(role, r"\\\\")
+    return unescape(F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\"))
 
 
 def render(turn: Column, text: Column) -> Column:
@@ -58,27 +58,36 @@ def parse(rendered: Column) -> Column:
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, formatted, turns): each conversation as one string, and the turns that the parser reads from it.
+    """(conv, formatted, turns, segments): each conversation as one string, the turns that the parser reads from it, and the
+    pieces (text, loss) that it is made of in order, loss marking what is learned from.
 
     Turns go by number, equal ones by role and text, null numbers first; repeated rows stay. Null roles and texts
-    are empty. Null conversation ids form one conversation. One conversation is one string by nature, so its turns
-    meet in one task; turns are rendered before that, and nothing else is gathered.
+    are empty. A row without a conversation id is a conversation of its own. One conversation is one string by nature,
+    so its turns meet in one task; nothing else is gathered.
     """
     turns = df.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
-    convs = turns.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("source"))
+    convs = turns.where("conv is not null").groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("source"))
+    convs = convs.unionByName(turns.where("conv is null").select("conv", F.array("t").alias("source")))
     convs = convs.withColumn("source", F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     # as it stands: a turn alone shows whether its text survives, as the grammar has no context beyond a turn
-    raw = lambda t: render(t, t["text"])
-    same = lambda t: parse(raw(t)) == F.array(t)
-    convs = convs.withColumn("formatted", F.array_join(F.transform("source", lambda t: F.when(same(t), raw(t)).otherwise(render(t, escape(t["text"])))), ""))
+    same = lambda t: parse(render(t, t["text"])) == F.array(t)
+    convs = convs.withColumn("written", F.transform("source", lambda t: F.when(same(t), t["text"]).otherwise(escape(t["text"]))))
+    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    no = F.lit(False)
+    pieces = F.zip_with(
+        "source",
+        "written",
+        lambda t, w: F.array(piece(F.concat(F.lit(START), _role_out(t["role"]), F.lit("\n")), no), piece(w, t["role"] == LEARNED), piece(F.lit(END), no)),
+    )
+    convs = convs.withColumn("segments", F.flatten(pieces)).withColumn("formatted", F.array_join("segments.text", ""))
     convs = convs.withColumn("turns", parse(F.col("formatted")))
-    agree = F.when(F.col("turns") == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no round trip for conversation "), F.col("conv").cast("string"))).cast("array<struct<role:string,text:string>>"))
-    return convs.select(F.col("conv").alias(conv_col), "formatted", agree.alias("turns"))
+    agree = F.when(F.col("turns") == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no round trip for conversation "), F.coalesce(F.col("conv").cast("string"), F.lit("without an id")))).cast("array<struct<role:string,text:string>>"))
+    return convs.select(F.col("conv").alias(conv_col), "formatted", agree.alias("turns"), "segments")
 
 
 def digests(out: DataFrame) -> DataFrame:
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -99,9 +108,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-           UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS escaped,
              text = regexp_replace(text, '<(\\\\*)\\\\\\|', '<\\1|', 'g') AND NOT contains(text, '<|') AS plain FROM c)
 SELECT conv_id, count(*) AS n_turns,
@@ -109,5 +118,5 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(12 + length(role) + 1 + length(CASE WHEN plain THEN text ELSE escaped END) + 11)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
