@@ -15,8 +15,8 @@ from .common import materialize, table
 
 #: Weights of the sources in order, repeating; the share of all words that the mix has; times a source may be taken.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Key ranges of a source. Windows hold one range of one source, so a source of a third of all rows is spread over all of them.
-RANGES = 1024
+#: Rows that a range of keys holds, about. Windows hold one range of one source, so a source of a third of all rows is spread.
+ROWS_A_RANGE = 20_000
 SEED = 20240601
 
 
@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return step.select("source", "total", F.least(most * F.col("total"), F.coalesce(F.col("free_level") * F.col("weight"), most * F.col("total"))).alias("target"))
 
 
-def plan(df: DataFrame, id_cols: list[str], source_col: str = "source", size_col: str = "size", seed: int = SEED, ranges: int = RANGES, **how) -> DataFrame:
+def plan(df: DataFrame, id_cols: list[str], source_col: str = "source", size_col: str = "size", seed: int = SEED, rows_a_range: int = ROWS_A_RANGE, **how) -> DataFrame:
     """For rows (ids, source, size): source_size, target, and taken, the words that the mix takes of each.
 
     Null sources are one source of their own, last in order; sizes that are null count as 0; rows that are equal in
@@ -55,7 +55,9 @@ def plan(df: DataFrame, id_cols: list[str], source_col: str = "source", size_col
     names = [f"i{k}" for k in range(len(id_cols))]
     rows = df.select(*ids, F.col(source_col).alias("source"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"))
     u = F.xxhash64(F.lit(seed), *names, F.coalesce("source", F.lit("")))
-    rows = materialize(rows.withColumn("key", u).withColumn("range", F.pmod(F.shiftright("key", 54), F.lit(1024)) * F.lit(ranges) / F.lit(1024)).withColumn("range", F.floor("range").cast("int")), "mix")
+    rows = materialize(rows.withColumn("key", u), "mix")
+    bits = max(4, min(40, (rows.count() // rows_a_range).bit_length()))  # 2 ** bits ranges of the key's upper bits, in its order
+    rows = rows.withColumn("range", F.shiftright("key", 64 - bits))
     # a null source cannot be a join key, so each has a name that is never null
     tag = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     rows = rows.withColumn("tag", tag)
@@ -85,12 +87,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     """
     keyed = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    keyed = keyed.withColumn("h", F.xxhash64(at[text_col], at[source_col])).withColumn("size", count_words(F.col(at[text_col]))).withColumn("id", F.coalesce(F.col(at[id_col]).cast("string"), F.lit("")))
+    keyed = keyed.withColumn("size", count_words(F.col(at[text_col]))).withColumn("h", F.xxhash64(at[text_col], at[source_col])).withColumn("id", F.coalesce(F.col(at[id_col]).cast("string"), F.lit("")))
     p = plan(keyed.select("id", "h", F.col(at[source_col]).alias("source"), "size"), ["id", "h"], **how)
     p = p.groupBy("id", "h").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"), F.first("size").alias("p_size"))
-    # rows equal in id, text and source share the takes of their class, one each by number
+    # what has no words is taken nothing of; rows equal in id, text and source share the takes of their class, one each by number
     nth = F.row_number().over(Window.partitionBy("id", "h").orderBy("size"))
-    out = keyed.join(p, ["id", "h"]).withColumn("taken", F.col("takes")[nth - 1])
+    out = keyed.where("size > 0").join(p.where("p_size > 0"), ["id", "h"]).withColumn("taken", F.col("takes")[nth - 1])
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
