@@ -295,7 +295,7 @@ def test_language(spark, docs):
     assert 0.6 < share["aa"] < 0.9 and share["bb"] > 0.1
     # blocks give what one pass over the whole sequence gives
     w = long.lower().split()
-    e = np.array([model["weights"][language_id._padded([language_id.bare(x)], model["lexicon"])][0].sum(0) for x in w], float)
+    e = np.array([model["weights"][language_id._padded([language_id.bare(x)], model["lexicon"], len(model["weights"]) - 1)][0].sum(0) for x in w], float)
     m, _ = language_id._forward_backward(e[None], model["trans"], np.ones((1, len(w)), bool))
     assert np.allclose(m[0].mean(0), tagger.shares([long])[0], atol=1e-5)
     odd = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, ["doc_id"]).collect()}
@@ -303,6 +303,49 @@ def test_language(spark, docs):
     assert language_id.predict(docs, language_id.fit(df.limit(0)), ["doc_id"]).where("lang_pred = 'und'").count() == docs.count()
 
 
+def test_marginals_match_all_label_paths(monkeypatch):
+    import itertools
+
+    rng = np.random.default_rng(4)
+    langs = ["a", "b", "c"]
+    model = {"langs": langs, "weights": rng.normal(size=(language_id.FEATURES + 4, 3)).astype(np.float32), "trans": rng.normal(size=(3, 3)), "lexicon": {"kor": 1}}
+    model["weights"][-1] = 0
+    words_ = "kor, ñue! lim 12 kor za".split()
+    e = language_id.emissions([language_id.bare(w) for w in words_], model).astype(float)
+    m = np.zeros((len(words_), 3))
+    for path in itertools.product(range(3), repeat=len(words_)):
+        w = math.exp(sum(e[i, y] for i, y in enumerate(path)) + sum(model["trans"][a, b] for a, b in zip(path, path[1:], strict=False)))
+        for i, y in enumerate(path):
+            m[i, y] += w
+    m /= m.sum(1, keepdims=True)
+    real = [bool(language_id.bare(w)) for w in words_]
+    want = m[real].mean(0)
+    assert np.allclose(language_id.Tagger(model).shares([" ".join(words_)])[0], want, atol=1e-5)
+    monkeypatch.setattr(language_id, "BLOCK", 2)
+    assert np.allclose(language_id.Tagger(model).shares([" ".join(words_)])[0], want, atol=1e-5)
+    monkeypatch.setattr(language_id, "SLAB", 3)  # slabs of blocks
+    assert np.allclose(language_id.Tagger(model).shares(["", " ".join(words_), None, "kor"])[1], want, atol=1e-5)
+
+
+def test_language_of_scripts_without_blanks_and_of_many_languages(spark):
+    rng = random.Random(2)
+    zh = ["".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(120)) for _ in range(40)]
+    th = ["".join(chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(90)) for _ in range(40)]
+    rows = [(i, t, x) for i, (t, x) in enumerate([*((t, "zh") for t in zh), *((t, "th") for t in th), *((words(rng, 30), "en") for _ in range(40))])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df.where("doc_id % 2 = 0"))
+    assert model["langs"] == ["en", "th", "zh"]
+    out = language_id.predict(df.withColumn("lang_pred", F.lit("x")), model, ["doc_id", "lang", "lang_pred"])
+    assert out.columns == ["doc_id", "lang", "lang_pred", "score"] and out.where("lang = lang_pred").count() >= 118
+    big = words(rng, 10) + " " + "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(3_300_000))  # 10 MB, one run
+    tagger = language_id.Tagger(model)
+    assert model["langs"][tagger.shares([big])[0].argmax()] == "zh"
+    many = [(f"l{k:02d}", [f"x{chr(97 + k % 26)}{chr(97 + k // 26)}{j}q" for j in range(16)]) for k in range(60) for _ in range(6)]
+    m = language_id.train(many)
+    assert len(m["langs"]) == 60 and sum(m["langs"][language_id.Tagger(m).shares([" ".join(w)])[0].argmax()] == x for x, w in many[::6]) >= 55
+    assert set("".join(language_id.units("ab" * 40))) == {"a", "b"} and "".join(language_id.units("abc" * 40)) == "abc" * 40
+
+
 def test_toxicity(spark, docs, labels):
     rng = random.Random(10)
     bad = ["vilex", "grumbo", "nastor", "zzork"]
