@@ -124,6 +124,52 @@ def test_quality_rejects_what_labels_allow(spark):
     assert all(r.kept == (r.doc_id % 5 > 0) for r in out)
 
 
+def test_cutoffs_match_brute_force(spark):
+    rng = random.Random(17)
+    rows, marks = [], []
+    for i in range(4000):
+        w, lang, good = words(rng, 70).split(), rng.choice(["en", "en", "en", "de", "rare"]) if i % 400 else "few", int(rng.random() < 0.7)
+        junk = rng.random() * (0.25 if good and rng.random() < 0.05 else 0 if good else 0.4)
+        w = [x + "#" * 3 if rng.random() < junk else x for x in w]
+        lines = ["the same line here"] * int(junk * 20) + [" ".join(w)]
+        rows.append((i, "\n".join(lines), lang))
+        marks.append((i, good))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    feats = {i: brute_features(t) for i, t, _ in rows}
+    share = lambda f: (f[2] / f[1] if f[1] else 0, f[4] / f[3] if f[3] else 0, f[5] / f[0] if f[0] else 0)
+    base = {i: f[0] < 50 or 100 * f[5] > 50 * f[0] for i, f in feats.items()}
+    h = {r.doc_id: r.u for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1000)).alias("u")).collect()}
+    good = dict(marks)
+    grids = list(quality_rules.RULES.values())
+    rejects = lambda i, p: any(p[r] and share(feats[i])[r] > grids[r][p[r] - 1] for r in range(3))
+    path, at = [], (0, 0, 0)
+    explore = [i for i in h if h[i] < 300 and not base[i]]
+    while at != tuple(map(len, grids)):
+        best = None
+        for r in range(3):
+            if at[r] < len(grids[r]):
+                p = tuple(x + (k == r) for k, x in enumerate(at))
+                new = [i for i in explore if rejects(i, p) and not rejects(i, at)]
+                gain = (sum(not good[i] for i in new) + 0.5) / (sum(good[i] for i in new) + 0.5)
+                if best is None or gain > best[0]:
+                    best = (gain, p)
+        at = best[1]
+        path.append(at)
+    strata = {s: [i for i, _, x in rows if x == s and h[i] >= 300 and good[i] and not base[i]] for s in ("en", "de", "rare", "few")}
+    strata = {s: x for s, x in strata.items() if x}
+    policy = {}
+    for s, ids in strata.items():
+        policy[s] = (0, 0, 0)
+        for p in path:
+            k, n = sum(rejects(i, p) for i in ids), len(ids)
+            if sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) > 0.05 / len(strata):
+                break
+            policy[s] = p
+    assert policy["few"] == (0, 0, 0) and policy["en"] != (0, 0, 0)
+    out = quality_rules.judge(df.repartition(5), lab).collect()
+    assert {r.doc_id: r.kept for r in out} == {i: not base[i] and not rejects(i, policy.get(s, (0, 0, 0))) for i, _, s in rows}
+
+
 def brute_lines(rows):
     seen, gone = set(), {}
     for i, t in sorted(rows):
