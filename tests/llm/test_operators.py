@@ -309,6 +309,27 @@ def test_embeddings(spark):
     assert all(out[i].n_links == 0 and out[i].kept for i in (900, 901, 902, 903, 904, None))
 
 
+def test_embeddings_of_repeated_ids_and_by_graphs(spark, monkeypatch):
+    e = lambda *v: [float(x) for x in v]
+    rows = [(1, e(1, 0, 0)), (1, e(0, 1, 0)), (2, e(1, 0.01, 0)), (3, e(0.01, 1, 0)), (4, e(0, 0, 2)), (4, e(0, 0, 2)), (5, e(1, 1, 1))]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), shards=2).collect()
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert got == Counter({(1, 1, 1, True): 2, (2, 1, 1, False): 1, (3, 1, 1, False): 1, (4, 1, 4, True): 2, (5, 0, 5, True): 1})
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    # two shards large enough for a graph's beam in each: every link of whole tables, recall against a scan
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    x[1000:] = x[rng.integers(0, 1000, 500)] + rng.normal(size=(500, 24)) * 0.12
+    u = embedding_dedup._unit(x)
+    a, b = np.arange(0, 1500, 2), np.arange(1, 1500, 2)
+    monkeypatch.setattr(embedding_dedup, "WORTH", 2)
+    pack = lambda who: embedding_dedup._build(embedding_dedup.pd.DataFrame({"node": who, "dim": 24, "shard": 0, "many": 1, "embedding": list(x[who])}))
+    pa_, pb = pack(a), pack(b)
+    truth = (u[a] @ u[b].T >= 0.95).sum()
+    out = embedding_dedup.link_pair(pa_.vectors[0], pb.vectors[0], pb.links[0], False, 0.95)
+    assert truth > 50 and out.links.sum() >= 2 * 0.99 * truth and embedding_dedup.Graph.load(pb.links[0], u[b]).links
+
+
 def test_embedding_links_are_found_where_they_are_rare(monkeypatch):
     # 2,000 nodes, half of them cut off from the graph's entry; one link, to a node that is cut off and no query of the sample has
     rng = np.random.default_rng(11)

@@ -235,12 +235,20 @@ def link_classes(reps: DataFrame, texts: DataFrame, versions: DataFrame, words:
     # all pairs of a list that lie in different components yet; each in the first list that both are in
     rows = united(lists)
     split = rows.groupBy("v").agg((F.min("c") != F.max("c")).alias("split")).where("split").select("v")
-    todo = rows.drop("f", "n").join(split, "v", "left_semi").join(lists.groupBy("id").agg(F.collect_list("v").alias("vs")), "id").join(bins, "id")
-    todo = materialize(todo, "open")
-    x, y = todo.alias("x"), todo.alias("y")
-    cross = (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)
+    split = rows.join(split, "v", "left_semi").groupBy("v").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    todo = rows.drop("f", "n").join(split, "v").join(lists.groupBy("id").agg(F.collect_list("v").alias("vs")), "id").join(bins, "id")
+    todo = materialize(todo.withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")), "open")
+    # a long list is dealt into shares, and each two of them meet in a task of their own: (lower, higher) by share
+    ends = F.col("shares") - 1
+    x = todo.withColumns({"lo": F.col("share"), "hi": F.explode(F.sequence("share", ends))}).alias("x")
+    y = todo.withColumns({"hi": F.col("share"), "lo": F.explode(F.sequence(F.lit(0), "share"))}).alias("y")
+    cell = (F.col("x.v") == F.col("y.v")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    once = (F.col("x.lo") != F.col("x.hi")) | (F.col("x.id") < F.col("y.id"))
+    cross = cell & once & (F.col("x.c") != F.col("y.c")) & _fits("x.", "y.", similarity)
     cross = cross & (F.col("x.v") == F.array_min(F.array_intersect("x.vs", "y.vs")))
-    link(x.join(y, cross).select(F.col("x.id").alias("a"), F.col("x.c").alias("ca"), F.col("y.id").alias("b"), F.col("y.c").alias("cb")))
+    me, other = F.struct(F.col("x.id").alias("id"), F.col("x.c").alias("c")), F.struct(F.col("y.id").alias("id"), F.col("y.c").alias("c"))
+    ends = x.join(y, cross).select(F.least(me, other).alias("x"), F.greatest(me, other).alias("y"))
+    link(ends.select(F.col("x.id").alias("a"), F.col("x.c").alias("ca"), F.col("y.id").alias("b"), F.col("y.c").alias("cb")))
     for used in (todo, sets, lists, homes):
         release(used)
     return components
@@ -276,14 +284,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "h", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _ordered(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df's rows of one document for each group, with their own columns; of rows equal in id and text one stays."""
+    """df's rows of one document for each group, with their own columns; of rows equal in id and text the first by their other columns stays."""
     names = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}
     keyed = names.withColumn("h", F.xxhash64(at[text_col])).withColumn("id", F.col(at[id_col]))
     verdict = near_duplicates(df, id_col, text_col, **how).where("kept and " + f"`{id_col}` is not null").select(F.col(id_col).alias("id"), "h").distinct()
     out = keyed.where("id is not null").join(verdict, ["id", "h"], "left_semi")
-    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(1)))).where("nth = 1")
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy(*[F.col(c) for c, t in keyed.dtypes if c in at.values() and _ordered(t)], F.lit(1)))).where("nth = 1")
     out = out.select(*[F.col(c) for c in at.values()]).unionByName(keyed.where("id is null").select(*at.values()))
     return out.select(*[F.col(v).alias(c) for c, v in at.items()])
 
