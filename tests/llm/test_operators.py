@@ -430,9 +430,63 @@ def test_toxicity(spark, docs, labels):
     right = sum((r.score >= 0.7) == (r.doc_id % 6 == 0) for r in out)
     assert right >= 0.98 * len(out)
     assert toxicity.score(docs, model, ["doc_id"]).where("score between 0 and 1").count() == docs.count()
+    assert toxicity.score(docs.withColumn("score", F.lit(7)), model, ["doc_id", "score"]).columns == ["doc_id", "score"]
     assert toxicity.score(docs, toxicity.fit(docs.limit(0), labels), ["doc_id"]).count() == docs.count()
 
 
+def test_label_model_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    y = rng.random(3000) < 0.2
+    votes = np.zeros((3000, 4), int)
+    votes[:, 0] = np.where(rng.random(3000) < np.where(y, 0.7, 0.03), 1, 0)
+    votes[:, 1] = np.where(rng.random(3000) < 0.9, votes[:, 0], 0)  # repeats voter 0
+    votes[:, 2] = np.where(rng.random(3000) < np.where(y, 0.6, 0.02), 1, 0)
+    votes[:, 3] = -(votes == 0).all(1).astype(int)
+    m = toxicity.LabelModel(0.2, (3,))
+    p = m.fit(votes)
+    assert {frozenset((j, int(i))) for j, i in enumerate(m.parent) if i >= 0} >= {frozenset((0, 1))}  # the correlation is seen
+    assert np.allclose(np.exp(m.tables).sum(-1), 1)
+    every = np.array(list(itertools.product((-1, 0, 1), repeat=4)))
+    for v, post in zip(every, m.posterior(every), strict=True):  # the chain rule over the votes cast, written out
+        odds = m.prior / (1 - m.prior)
+        for j, i in enumerate(m.parent):
+            a, b = (math.exp(m.tables[c, j, v[i] + 1 if i >= 0 else 1, v[j] + 1]) for c in (0, 1))
+            odds *= max(b / a, 1) if v[j] > 0 else min(b / a, 1) if v[j] < 0 else 1
+        assert math.isclose(post, odds / (1 + odds), rel_tol=1e-6)
+    assert ((p > 0.5) == y).mean() > 0.92 and abs(p.mean() - 0.2) < 0.05
+    # tables are shares of weighted rows, counted one by one
+    w, i = np.array([0.25, 0.5, 1.0, 0.0]), 1
+    few = np.array([[1, 1, 0, 0], [1, 0, 0, -1], [0, 1, 1, 0], [0, 0, 0, 0]])
+    m.parent = np.array([-1, 0, 0, -1])
+    m.update(few, w, smooth=0.5)
+    for c, weight in ((0, 1 - w), (1, w)):
+        for up in (-1, 0, 1):
+            n = [0.5 + sum(x for x, v in zip(weight, few, strict=True) if v[0] == up and v[i] == val) for val in (-1, 0, 1)]
+            assert np.allclose(np.exp(m.tables[c, i, up + 1]), np.array(n) / sum(n))
+    # the mutual information behind the tree, against a loop over values
+    w = np.where(y, 1.0, 0.0)
+    alone = toxicity.LabelModel(0.2, (3,))
+    tree = alone.tree(votes, w)
+    assert tree[3] == -1 and 3 not in tree and sorted(tree[:3])[0] == -1
+    info = lambda a, b: sum(
+        q * math.log(q / ((votes[y == c, a] == s).mean() * (votes[y == c, b] == t).mean())) * (y == c).mean()
+        for c in (0, 1) for s in (-1, 0, 1) for t in (-1, 0, 1) if (q := ((votes[y == c, a] == s) & (votes[y == c, b] == t)).mean()) > 0
+    )
+    pairs = sorted(((info(a, b), a, b) for a, b in ((0, 1), (0, 2), (1, 2))), reverse=True)[:2]
+    assert {frozenset((j, int(k))) for j, k in enumerate(tree) if k >= 0} == {frozenset(x[1:]) for x in pairs}
+
+
+def test_toxic_patterns():
+    assert "d:vilex" in toxicity.forms("v1l3x!") and "s:vilex" in toxicity.forms("vileeex") and toxicity.forms("...") == []
+    words_ = {"w:vilex": 1.0, "c:calm": -1.0}
+    assert toxicity.voted(["w:vilex", "d:vilex", "d:other", "r:vilex", "p:shout"], words_) == ["w:vilex", "p:disguise", "p:repeat", "p:shout"]
+    assert toxicity._features("AAAA BBBB CCCC dd") >= {"p:shout", "w:dd"} and "r:dd" in toxicity._features("dd x dd")
+    votes = toxicity.ballots([[0], [1], [2, 0], []], ["w:vilex", "c:calm", "p:disguise"])
+    assert votes.tolist() == [[1, 0, 0, 0], [0, 0, -1, -1], [1, 1, 0, 0], [0, 0, 0, -1]]
+
+
 def test_digests(spark):
     rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
     r = chat_format.digests(chat_format.format_chats(rows)).first()
