@@ -13,29 +13,34 @@ from weftline.llm.common import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go. Null and empty texts have no words and are rejected; rows with equal or null ids are judged apart, so
+    repeated rows share their fate; null languages are held to the base rules alone. An empty table stays empty."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated three-line windows go; n_chars follows the text."""
+    """Later copies of repeated three-line windows go; n_chars follows the text. Null texts stay null, a text may become empty; rows
+    equal in id and text share their fate; null ids come first in order. No row goes."""
     out = line_dedup.dedup_lines(docs)
     cols = [F.char_length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*cols)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; shingles of five words."""
+    """One document of each group stays, the one of the smallest id; shingles of five words. Of rows equal in id and text the first by
+    their other columns stays, versions of one id are one group; rows without words, text or id link with nothing and stay."""
     return minhash_dedup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, the last cut at its budget."""
+    """Rows as often as the mix takes them, the last cut at its budget. Null sources are one source, last in order; texts without
+    words are taken nothing of and go; rows equal in id, text and source share their takes."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip): ids of whole texts, and whether they decode to the text."""
+    """(doc_id, n_tokens, ids, round_trip): ids of whole texts, and whether they decode to the text. A null text is an empty one; every
+    row has a row, whatever its id."""
     import public_tokenizers
 
     texts = docs.select("doc_id", "text", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).alias("key"))
