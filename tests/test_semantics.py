@@ -120,17 +120,17 @@ def test_budgets(rows, spark, tmp_path):
         run(rows, "def graph(x):\n    s = call('test.large', n=500)\n    return s", budget=Budget(size=100))
     c = C.Catalog(spark, str(tmp_path))
     c.create("slow", "def graph(x):\n    return call('wait', x=x)")
-    wait = python_tool("wait", ["x"], F.pandas_udf(lambda s: s + 0 * time.sleep(20) if False else _nap(s), "long"), "long")
+
+    def nap(s):  # local, so that workers get it by value: they can't import this module
+        time.sleep(20)
+        return s
+
+    wait = python_tool("wait", ["x"], F.pandas_udf(nap, "long"), "long")
     with pytest.raises(BudgetError):
         c.execute("slow", rows, str(tmp_path / "o"), budget=Budget(millis=1500), tools={"wait": wait})
     assert c.executions("failed").first().error == "time budget exceeded"
 
 
-def _nap(s):
-    time.sleep(20)
-    return s
-
-
 def test_sqlite(spark, rows, tmp_path):
     db = str(tmp_path / "t.db")
     with sqlite3.connect(db) as con:
