@@ -155,22 +155,30 @@ class Catalog:
         for n in nodes:
             tell("start", str(n.id), n.op)
         limit = budget.millis if budget else None
-        timer = threading.Timer(limit / 1000, self.spark.interruptTag, [run]) if limit else None
+        over = lambda: limit and time.time() - started >= limit / 1000
+        done = threading.Event()
+
+        def watch() -> None:  # a job that starts after an interrupt isn't reached by it, so there is one after another
+            done.wait(limit / 1000)
+            while not done.wait(0.2):
+                self.spark.interruptTag(run)
+
         try:
             self.spark.addTag(run)
-            if timer:
-                timer.start()
+            if limit:
+                threading.Thread(target=watch, daemon=True).start()
             apply_graph(df, graph, subgraphs=self.load, env=env, budget=budget, **how).write.mode("overwrite").parquet(path)
+            if over():
+                raise TimeoutError
         except Exception as e:
-            late = limit and time.time() - started >= limit / 1000
+            late = over()
             self._append("executions", **record, status="failed", error="time budget exceeded" if late else str(e)[:2000], completed_at=stamp(time.time()), duration_us=int((time.time() - started) * 1e6))
             if late:
                 raise BudgetError(f"{name} ran longer than {limit} ms") from e
             raise
         finally:
+            done.set()
             self.spark.removeTag(run)
-            if timer:
-                timer.cancel()
         ended = time.time()
         self._append("executions", **record, status="completed", output=path, completed_at=stamp(ended), duration_us=int((ended - started) * 1e6))
         # one plan runs all nodes at once: each has an equal part of the time, in order
