@@ -36,7 +36,7 @@ MINIMA = BINS // 16  # numbers
 #: Chance that a filter loses a pair of just the asked similarity.
 LOSS = 1e-7
 WORDS = 5
-#: Pivots of a list in each round, fewer texts being left that they don't reach; texts that make a list worth them. Rounds
+#: Most pivots of a list in each round, fewer texts being left that they don't reach; texts that make a list worth them. Rounds
 #: end where they link less than a share of the texts that they look at.
 PIVOTS, LONG, GAIN = (4, 16, 32, 64, 128), 8, 0.002
 #: Texts of a list that meet its pivots in one task, about; a longer list is dealt over more.
@@ -222,8 +222,10 @@ def link_classes(reps: DataFrame, texts: DataFrame, versions: DataFrame, words:
 
     for turn in range(len(PIVOTS)):
         star = materialize(united(homes.select("id", f"h{turn}.v", F.ceil(F.col(f"h{turn}.f") / SHARE).cast("int").alias("shares"), "n", *own)), "star")
-        nth = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "id")))  # Spark keeps the first few of each partition before it shuffles
-        pivots = star.withColumn("nth", nth).where(F.col("nth") <= PIVOTS[turn]).select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.struct("id", "n", "c", *own).alias("p"))
+        # a pivot is the least of its slot: partitions pass on one row a slot, and the slots of one list lie in several tasks
+        order = F.xxhash64(F.lit(turn), "id")
+        pivots = star.groupBy("v", F.pmod(order, F.lit(PIVOTS[turn])).alias("slot")).agg(F.min(F.struct(order.alias("o"), "id", "n", "c", *own)).alias("p"), F.max("shares").alias("shares"))
+        pivots = pivots.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "p")
         pairs = star.withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).join(pivots, ["v", "share"]).where((F.col("c") != F.col("p.c")) & _fits("", "p.", similarity))
         me, pivot = F.struct("id", "c"), F.struct("p.id", "p.c")
         ends = pairs.select(F.least(me, pivot).alias("x"), F.greatest(me, pivot).alias("y"))
