@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from .operators import relational as R
 from .plans import report
 from .plans.lower import apply_graph
 from .sources import inputs
+from .streaming import adapter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -301,6 +304,30 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
     return R.interval_join(_t(spark, d, "events").select("event_id", "value"), ranges, "value", "low", "high", 3.0).select("event_id", "p_partkey")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local session may do without a set one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{path or tempfile.mkdtemp(prefix='weftline-')}/stream-{uuid.uuid4().hex}"
+
+
+_HOURS = """
+WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, value FROM events),
+     late AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, max(value) AS top
+FROM w, late WHERE h + INTERVAL 1 HOUR <= mark GROUP BY 1, 2"""
+
+
+@query("stream_windows", _HOURS)
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts of each kind of event, by a stream: the hours that its watermark has passed."""
+    # a glob, as a stream takes folders and globs but no file
+    e = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    w = adapter.windowed(e, "ts", ["event_type"], "1 hour", "10 minutes", n=F.count("*"), top=F.max("value"))
+    return adapter.settled(w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "top"), _folder(spark))
+
+
 @query("approx_counts", "SELECT o_orderstatus, true AS near FROM orders GROUP BY 1")
 def approx_counts(spark: SparkSession, d: str) -> DataFrame:
     """Sketched distinct counts and quantiles that lie within their bounds of the exact ones."""

@@ -21,5 +21,13 @@ def windowed(source: DataFrame, time_col: str, keys: list[str], size: str, late:
     return source.withWatermark(time_col, late).groupBy(w, *keys).agg(*[v.alias(k) for k, v in aggregates.items()])
 
 
+def settled(stream: DataFrame, folder: str) -> DataFrame:
+    """The rows that a stream's present input makes final, as a table under `folder`, which driver and executors have to share."""
+    out = f"{folder}/rows"
+    run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def sessions(source: DataFrame, time_col: str, keys: list[str], gap: str, late: str) -> DataFrame:
     return source.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap), *keys).agg(F.count("*").alias("n"))
