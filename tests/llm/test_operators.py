@@ -347,6 +347,42 @@ def test_embedding_links_are_found_where_they_are_rare(monkeypatch):
     assert not embedding_dedup._finds_planted(cut, 96, 0.95) and embedding_dedup._finds_planted(whole, 384, 0.95)
 
 
+
+def test_embedding_links_do_not_depend_on_the_size(monkeypatch):
+    # the graph has lost its ways to one node, which no link that the gauge plants would tell
+    rng = np.random.default_rng(12)
+    n = 2500
+    x = embedding_dedup._unit(rng.normal(size=(n, 16)))
+    q = embedding_dedup._unit(rng.normal(size=(400, 16)))
+    drawn = []
+    for ef in (24, 96, 384):
+        draw = np.random.default_rng(ef)
+        for _ in range(0, embedding_dedup.PLANTED, 256):
+            drawn.append(draw.integers(0, n, 256))
+            draw.normal(size=(256, 16))
+    lost = np.setdiff1d(np.arange(1, n), np.concatenate(drawn))[0]
+    q[101] = embedding_dedup._unit((x[lost] + 0.03 * rng.normal(size=16))[None])[0]
+    q[202:206] = embedding_dedup._unit(x[[5, 5, 700, 800]] + 0.03 * rng.normal(size=(4, 16)))
+    g = embedding_dedup.Graph.build(x)
+    for links in g.links:
+        links[links == lost] = -1
+    truth = {(a, b) for a, b in zip(*np.nonzero(q @ x.T >= 0.95), strict=True)}
+    assert (101, lost) in truth and len(truth) >= 5
+    searched, search = [], embedding_dedup.Graph.search
+    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda g, q, ef: searched.append(len(q)) or search(g, q, ef))
+    for worth in (embedding_dedup.WORTH, 4):
+        monkeypatch.setattr(embedding_dedup, "WORTH", worth)
+        searched.clear()
+        found = [(a, b) for i, j in embedding_dedup.candidates(g, q.astype(np.float32), 0.95) for a, b in zip(i, j, strict=True)]
+        assert sorted(found) == sorted(truth) and sum(searched) >= len(q)
+    # a shard of any size has a graph, and beams alone find most links
+    rows_of = lambda v: embedding_dedup.pd.DataFrame({"node": np.arange(len(v)), "dim": 16, "shard": 0, "many": 1, "embedding": list(v)})
+    g = embedding_dedup.Graph.load(embedding_dedup._build(rows_of(x)).links[0], x)
+    assert g.links and (search(g, q.astype(np.float32), embedding_dedup.BEAM)[1] >= 0.95).sum() >= 0.9 * len(truth)
+    for n in (1, 2, 3):
+        assert embedding_dedup.Graph.load(embedding_dedup._build(rows_of(x[:n])).links[0], x[:n]).links
+
+
 def test_language(spark, docs):
     rng = random.Random(9)
     stems = {"aa": ["kor", "lim", "sta"], "bb": ["ñue", "za", "dor"], "cc": ["öch", "ung", "ßei"]}
